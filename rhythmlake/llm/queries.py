@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rhythmlake.llm.cooccurrence import cooccurrence, significant
 from rhythmlake.llm.subsequences import frequent_subsequences
+from rhythmlake.llm.tokens import decode_corpus, encode_corpus, token_bytes
 from rhythmlake.sources.tables import app_name, micros, table
 
 
@@ -40,7 +41,16 @@ def p5_patterns(spark: SparkSession, d: str) -> DataFrame:
     return _patterns(spark, d).select(F.array_join("pattern", ">").alias("pattern"), "n_sequences", "n_all")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p7_decode(spark: SparkSession, d: str) -> DataFrame:
+    """The texts back from their ids."""
+    return decode_corpus(p7_ids(spark, d), token_bytes(spark))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode)}
 
 _P2 = """
 b AS (SELECT DISTINCT device_id, day_key, lower(trim(app_pkg)) AS app FROM sessions WHERE device_id IS NOT NULL AND day_key IS NOT NULL AND app_pkg IS NOT NULL),
@@ -69,6 +79,7 @@ SQL = {
     "p2_found": f"WITH {_P2} SELECT a AS app_a, b AS app_b FROM m WHERE n_ab * n >= 3 * n_a * n_b",
     "p2_pairs": f"WITH {_P2} SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n AS n_baskets, round(n_a::DOUBLE * n_b / n, 6) AS expected, round(n_ab / (n_a::DOUBLE * n_b / n), 6) AS lift, round(2.0::DOUBLE * ({_LLR}), 6) AS llr FROM m",
     "p5_found": f"WITH {_P5} SELECT a AS app_1, b AS app_2, c AS app_3 FROM p3, n WHERE k >= 10 AND k * 100 >= n.n * 4",
+    "p7_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_patterns": f"""WITH {_P5} SELECT pattern, k AS n_sequences, n.n AS n_all FROM
         (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT a || '>' || b || '>' || c, k FROM p3), n WHERE k >= 10 AND k * 100 >= n.n * 4""",
 }
