@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rhythmlake.llm.cooccurrence import cooccurrence, significant
+from rhythmlake.llm.spans import shared_share, shared_spans
 from rhythmlake.llm.subsequences import frequent_subsequences
 from rhythmlake.llm.tokens import decode_corpus, encode_corpus, token_bytes
 from rhythmlake.sources.tables import app_name, micros, table
@@ -50,7 +51,17 @@ def p7_decode(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(p7_ids(spark, d), token_bytes(spark))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "documents"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    docs = table(spark, d, "documents")
+    return shared_share(docs, shared_spans(docs))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode, p9_found, p9_shares)}
 
 _P2 = """
 b AS (SELECT DISTINCT device_id, day_key, lower(trim(app_pkg)) AS app FROM sessions WHERE device_id IS NOT NULL AND day_key IS NOT NULL AND app_pkg IS NOT NULL),
@@ -74,8 +85,19 @@ d2 AS (SELECT x.s, x.app AS a, y.app AS b, min(y.i) AS i FROM q x JOIN q y ON x.
 p2 AS (SELECT a || '>' || b AS pattern, count(*) AS k FROM d2 GROUP BY ALL),
 d3 AS (SELECT DISTINCT d2.s, a, b, z.app AS c FROM d2 JOIN q z ON d2.s = z.s AND d2.i < z.i AND z.app <> a AND z.app <> b),
 p3 AS (SELECT a, b, c, count(*) AS k FROM d3 GROUP BY ALL)"""
+_P9 = """
+w AS (SELECT doc_id, i, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)),
+g AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+p AS (SELECT DISTINCT doc_id, i - 1 AS i FROM w SEMI JOIN g USING (s)),
+c AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS cut FROM p),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+found AS (SELECT doc_id, min(i) AS span_start, max(i) + 100 AS span_end FROM r GROUP BY doc_id, run)"""
 
 SQL = {
+    "p9_found": f"WITH {_P9} SELECT doc_id, span_start, span_end FROM found",
+    "p9_shares": f"""WITH {_P9} SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, count(span_start) AS n_spans, coalesce(sum(span_end - span_start), 0)::BIGINT AS shared_chars,
+        CASE WHEN length(any_value(text)) > 0 THEN round(coalesce(sum(span_end - span_start), 0)::DOUBLE / length(any_value(text)), 6) ELSE 0.0::DOUBLE END AS share
+        FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id, length(text)""",
     "p2_found": f"WITH {_P2} SELECT a AS app_a, b AS app_b FROM m WHERE n_ab * n >= 3 * n_a * n_b",
     "p2_pairs": f"WITH {_P2} SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n AS n_baskets, round(n_a::DOUBLE * n_b / n, 6) AS expected, round(n_ab / (n_a::DOUBLE * n_b / n), 6) AS lift, round(2.0::DOUBLE * ({_LLR}), 6) AS llr FROM m",
     "p5_found": f"WITH {_P5} SELECT a AS app_1, b AS app_2, c AS app_3 FROM p3, n WHERE k >= 10 AND k * 100 >= n.n * 4",
