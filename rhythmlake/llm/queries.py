@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rhythmlake.llm.cooccurrence import cooccurrence, significant
+from rhythmlake.llm.packing import pack
 from rhythmlake.llm.spans import shared_share, shared_spans
 from rhythmlake.llm.subsequences import frequent_subsequences
-from rhythmlake.llm.tokens import decode_corpus, encode_corpus, token_bytes
+from rhythmlake.llm.tokens import decode_corpus, encode_corpus, token_bytes, token_counts
 from rhythmlake.sources.tables import app_name, micros, table
 
 
@@ -51,6 +52,21 @@ def p7_decode(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(p7_ids(spark, d), token_bytes(spark))
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with its container of 2,048 tokens."""
+    return pack(token_counts(table(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_pack(spark, d).filter("n_pieces > 1 AND piece = 0").select("doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled, beside the least number that could hold all tokens."""
+    out = p8_pack(spark, d).agg(F.sum("n_tokens").alias("n_tokens"), (F.max("container") + 1).alias("n_containers"))
+    return out.select("n_tokens", "n_containers", F.ceil(F.col("n_tokens") / 2048).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("n_containers") * 2048), 6).alias("filled"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(table(spark, d, "documents"))
 
@@ -61,7 +77,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode, p8_found, p8_pack, p8_fill, p9_found, p9_shares)}
 
 _P2 = """
 b AS (SELECT DISTINCT device_id, day_key, lower(trim(app_pkg)) AS app FROM sessions WHERE device_id IS NOT NULL AND day_key IS NOT NULL AND app_pkg IS NOT NULL),
