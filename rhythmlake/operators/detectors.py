@@ -22,15 +22,14 @@ def periodicity(series: DataFrame, keys: tuple[str, ...] = SERIES, day: str = "d
     lagged = rows.select(*keys, "n", "c", *[(F.col("c") * F.lag("c", k).over(whole.orderBy("day"))).alias(f"l{k}") for k in range(1, longest + 1)])
     sums = lagged.groupBy(*keys).agg(F.first("n").alias("n"), F.sum(F.col("c") * F.col("c")).alias("power"), *[F.sum(f"l{k}").alias(f"l{k}") for k in range(1, longest + 1)]).filter("power >= 1e-9")
     lags = F.least(F.lit(longest), F.call_function("div", F.col("n"), F.lit(3)))
-    r = {k: F.col(f"l{k}") / F.col("power") for k in range(1, longest + 1)} | {0: F.lit(0.0)}
-    floor_ = F.greatest(F.lit(0.3), 2.0 / F.sqrt("n"))
-    peaks = []
-    for k in range(shortest, longest + 1):
-        falls = (lags == k) if k == longest else (lags == k) | (r[k] > r[k + 1])
-        peaks.append(F.when((lags >= k) & (r[k] >= floor_) & (r[k] > r[k - 1]) & falls, F.struct(r[k].alias("strength"), F.lit(-k).alias("k"))))
-    out = sums.select(*keys, F.col("n").cast("int").alias("n"), F.greatest(*peaks).alias("best")).filter("best IS NOT NULL")
+    each = sums.withColumn("lags", lags).select(*keys, "n", "power", "lags", F.posexplode(F.array(*[f"l{k}" for k in range(1, longest + 1)])).alias("at", "sum")).filter("at < lags")
+    w = whole.orderBy("at")
+    near = each.select(*keys, "n", "lags", (F.col("at") + 1).alias("k"), (F.col("sum") / F.col("power")).alias("r")).withColumn("at", F.col("k"))
+    near = near.withColumn("left", F.lag("r", 1, 0.0).over(w)).withColumn("right", F.lead("r").over(w))
+    peak = (F.col("k") >= shortest) & (F.col("r") >= F.greatest(F.lit(0.3), 2.0 / F.sqrt("n"))) & (F.col("r") > F.col("left")) & (F.col("right").isNull() | (F.col("r") > F.col("right")))
+    best = near.filter(peak).groupBy(*keys).agg(F.first("n").cast("int").alias("n"), F.max(F.struct("r", (-F.col("k")).alias("k"))).alias("best"))
     period = -F.col("best.k")
-    return out.select(*keys, period.alias("period_days"), F.col("best.strength").alias("strength"), F.call_function("div", F.col("n"), period).cast("int").alias("cycles"), "n")
+    return best.select(*keys, period.alias("period_days"), F.col("best.r").alias("strength"), F.call_function("div", F.col("n"), period).cast("int").alias("cycles"), "n")
 
 
 def change_point(series: DataFrame, keys: tuple[str, ...] = SERIES, day: str = "day", value: str = "value", segment: int = 7, effect: float = 1.2) -> DataFrame:
