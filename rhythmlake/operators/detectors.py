@@ -38,11 +38,11 @@ def change_point(series: DataFrame, keys: tuple[str, ...] = SERIES, day: str = "
     The split with the least squared error of two means, each side of `segment` values at least, the first of equal ones (to 6 places);
     effect_size is the difference of the means in pooled standard deviations, infinite (null) for a perfect step. change_day: first of the new level.
     """
-    w = Window.partitionBy(*keys).orderBy(day)
+    w = Window.partitionBy(*keys).orderBy("day")
     left, right = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(1, Window.unboundedFollowing)
     s = series.filter(F.col(value).isNotNull()).select(*keys, F.col(day).alias("day"), F.col(value).cast("double").alias("v"))
     s = s.select(
-        *keys, "day", F.row_number().over(w.orderBy("day")).alias("split"), F.count("*").over(Window.partitionBy(*keys)).alias("n"), F.lead("day").over(w).alias("change_day"),
+        *keys, "day", F.row_number().over(w).alias("split"), F.count("*").over(Window.partitionBy(*keys)).alias("n"), F.lead("day").over(w).alias("change_day"),
         F.avg("v").over(left).alias("before_mean"), F.avg("v").over(right).alias("after_mean"), F.var_pop("v").over(left).alias("vl"), F.var_pop("v").over(right).alias("vr"),
     )
     s = s.filter((F.col("split") >= segment) & (F.col("n") - F.col("split") >= segment))

@@ -37,7 +37,7 @@ def read_pings(fixes: DataFrame) -> DataFrame:
     parsed = F.from_json("payload", "lat string, lon string, broken string", {"columnNameOfCorruptRecord": "broken"})
     rows = fixes.select("device_id", micros("ts").alias("us"), parsed.alias("j")).filter("device_id IS NOT NULL AND us IS NOT NULL AND j.broken IS NULL")
     rows = rows.filter(F.col("j.lat").rlike(NUMBER) & F.col("j.lon").rlike(NUMBER))
-    return rows.select("device_id", "us", F.trim("j.lat").cast("double").alias("lat"), F.trim("j.lon").cast("double").alias("lon"))
+    return rows.select("device_id", "us", F.trim("j.lat").try_cast("double").alias("lat"), F.trim("j.lon").try_cast("double").alias("lon"))
 
 
 def reachability(pings: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
