@@ -18,7 +18,7 @@ ROWS, WIDEST = 2, 26
 #: Counters in a block of a sketch while sketches are merged.
 _BLOCK = 1 << 18
 #: Characters hashed at once.
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 
 _U = np.uint64
 
@@ -93,29 +93,39 @@ def _cells(first: np.ndarray, second: np.ndarray, width: int) -> list[np.ndarray
     return [((h >> _U(7)) & _U(width - 1)).astype(np.int64) for h in (first, second)]
 
 
+def _bit(plane: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (plane[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+
+
+def _set(plane: np.ndarray, cells: np.ndarray) -> None:
+    """Set the bits of sorted, different cells."""
+    if len(cells):
+        at = cells >> 3
+        begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        plane[at[begin]] |= np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (cells & 7).astype(np.uint8)), begin)
+
+
 def _sketch(length: int, width: int):
-    """The count-min sketch of one partition, counters held at 0, 1 or more, in blocks."""
+    """The count-min sketch of one partition in blocks; a counter is two bits in two planes: once, and more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = None
+        planes = None
         hashed = _Windows(length)
         for chars, at, *_ in _pieces(batches, length):
-            if counters is None:
-                counters = [np.zeros(width, np.uint8) for _ in range(ROWS)]
-            first, second = hashed.of(chars)
-            for row, cells in zip(counters, _cells(first[at], second[at], width), strict=True):
+            if planes is None:
+                planes = [[np.zeros(width // 8, np.uint8) for _ in range(2)] for _ in range(ROWS)]
+            for (once, more), cells in zip(planes, _cells(*(h[at] for h in hashed.of(chars)), width), strict=True):
                 cells.sort()
-                new = np.ones(len(cells), bool)
-                new[1:] = cells[1:] != cells[:-1]
-                begin = np.flatnonzero(new)
-                n = np.diff(np.append(begin, len(cells)))
+                begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+                again = np.diff(np.append(begin, len(cells))) > 1
                 own = cells[begin]
-                row[own] = np.minimum(2, row[own] + np.minimum(n, 2))
-        for r, row in enumerate(counters or []):
+                _set(more, own[again | _bit(once, own)])
+                _set(once, own)
+        for r, (once, more) in enumerate(planes or []):
             for b in range(0, width, _BLOCK):
-                part = row[b : b + _BLOCK]
-                if part.any():
-                    cols = [pa.array([r], pa.int32()), pa.array([b], pa.int64()), *(pa.array([zlib.compress(np.packbits(part >= k, bitorder="little").tobytes(), 1)], pa.binary()) for k in (1, 2))]
+                part = slice(b // 8, (b + _BLOCK) // 8)
+                if once[part].any():
+                    cols = [pa.array([r], pa.int32()), pa.array([b], pa.int64()), *(pa.array([zlib.compress(x[part].tobytes(), 1)], pa.binary()) for x in (once, more))]
                     yield pa.RecordBatch.from_arrays(cols, ["row", "block", "once", "more"])
 
     return run
@@ -152,7 +162,7 @@ def _repeated(length: int, width: int, sketch):
             first, second = (h[at] for h in hashed.of(chars))
             hit = np.ones(len(first), bool)
             for row, cells in zip(rows, _cells(first, second, width), strict=True):
-                hit &= (row[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+                hit &= _bit(row, cells)
             i = np.flatnonzero(hit)
             for lo in range(0, len(i), 100_000):
                 j = i[lo : lo + 100_000]
