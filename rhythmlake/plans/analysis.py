@@ -123,7 +123,7 @@ g AS (SELECT device_id, subject, any_value(n) AS n, sum(c * c) AS power, least(3
 ac AS (SELECT a.device_id, a.subject, b.i - a.i AS k, sum(a.c * b.c) AS s FROM x a JOIN x b ON a.device_id = b.device_id AND a.subject = b.subject AND b.i - a.i BETWEEN 1 AND 35 GROUP BY ALL),
 r AS (SELECT ac.device_id, ac.subject, k, s / power AS r, n, lags FROM ac JOIN g ON ac.device_id = g.device_id AND ac.subject = g.subject WHERE k <= lags),
 nb AS (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after FROM r WINDOW w AS (PARTITION BY device_id, subject ORDER BY k)),
-pk AS (SELECT *, row_number() OVER (PARTITION BY device_id, subject ORDER BY r DESC, k) AS place FROM nb WHERE k >= 2 AND r >= greatest(0.3, 2 / sqrt(n)) AND r > before AND (after IS NULL OR r > after))"""
+peaks AS (SELECT *, row_number() OVER (PARTITION BY device_id, subject ORDER BY r DESC, k) AS place FROM nb WHERE k >= 2 AND r >= greatest(0.3, 2 / sqrt(n)) AND r > before AND (after IS NULL OR r > after))"""
 _D2 = f"""{BS},
 w AS (SELECT device_id, subject, row_number() OVER l AS split, count(*) OVER (PARTITION BY device_id, subject) AS n, lead(day) OVER (PARTITION BY device_id, subject ORDER BY day) AS change_day,
   avg(v) OVER l AS before_mean, avg(v) OVER r AS after_mean, var_pop(v) OVER l AS vl, var_pop(v) OVER r AS vr FROM bs
@@ -158,7 +158,7 @@ SQL = {
       al AS (SELECT days.*, ev, ni FROM days LEFT JOIN lt ON days.device_id = lt.device_id AND days.date = lt.date)
       SELECT device_id, 'screen_time' AS series, date AS day, screen_time_s::DOUBLE AS value FROM al UNION ALL SELECT device_id, 'pickups', date, pickups::DOUBLE FROM al UNION ALL SELECT device_id, 'reflex_checks', date, reflex_checks::DOUBLE FROM al
       UNION ALL SELECT device_id, 'first_unlock_min', date, (fu // 60000000 % 1440)::DOUBLE FROM al WHERE fu IS NOT NULL UNION ALL SELECT device_id, 'evening_screen', date, coalesce(ev, 0)::DOUBLE FROM al UNION ALL SELECT device_id, 'night_screen', date, coalesce(ni, 0)::DOUBLE FROM al""",
-    "d1_periodicity": f"WITH {_D1} SELECT device_id, subject, k::INT AS period_days, round(r, 6) AS strength, (n // k)::INT AS cycles, n::INT AS n FROM pk WHERE place = 1",
+    "d1_periodicity": f"WITH {_D1} SELECT device_id, subject, k::INT AS period_days, round(r, 6) AS strength, (n // k)::INT AS cycles, n::INT AS n FROM peaks WHERE place = 1",
     "d2_change_point": f"""WITH {_D2} SELECT device_id, subject, n, split::INT AS split, strftime(change_day, '%Y-%m-%d') AS change_day, round(before_mean, 6) AS before_mean, round(after_mean, 6) AS after_mean,
       round(CASE WHEN sd >= 1e-9 THEN abs(after_mean - before_mean) / sd END, 6) AS effect_size FROM f WHERE CASE WHEN sd >= 1e-9 THEN abs(after_mean - before_mean) / sd >= 1.2 ELSE abs(after_mean - before_mean) >= 1e-9 END""",
     "d3_deviation": f"WITH {_D3} SELECT device_id, subject, value, round(q2, 6) AS median, round(z, 6) AS robust_z, CASE WHEN z > 0 THEN 'HIGH' ELSE 'LOW' END AS direction FROM z WHERE abs(z) >= 2",
