@@ -28,15 +28,10 @@ def build_session(cores: str | int = "*", name: str = "rhythmlake", **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that is unset (tests, one machine) a local folder is made and set.
+    Only where that is unset (tests, one machine) it is a folder of this machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "rhythmlake-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (folder or "file://" + os.path.join(tempfile.gettempdir(), "rhythmlake-shared")).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
