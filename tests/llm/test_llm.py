@@ -200,6 +200,7 @@ def test_spans(spark, seed, monkeypatch):
     rnd = random.Random(seed)
     parts = ["".join(rnd.choices("abé中😀 ", k=rnd.randrange(5, 40))) for _ in range(12)]
     texts = [(i, "".join(rnd.choices(parts, k=rnd.randrange(0, 8)))) for i in range(60)]
+    texts[3] = (3, "".join(parts[:4]))  # long enough to have windows
     texts += [(100, None), (101, ""), (102, "=" * 300), (103, "=" * 25), (104, "=" * 19), (105, texts[3][1]), (106, texts[3][1]), texts[4], texts[4], (107, "z" * 50)]
     df = spark.createDataFrame([(*t, 0, 0, 0) for t in texts], SPANS)
     got = [tuple(r) for r in spans.shared_spans(df, length=20).collect()]
