@@ -31,7 +31,7 @@ def once_per_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], c
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _debounce(gap_ms: int):
+def _debounce(gap_ms: int, expire: bool):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -44,16 +44,22 @@ def _debounce(gap_ms: int):
             prior.iloc[0] = before
         keep = prior.isna() | (ms - prior > gap_ms)
         state.update((int(ms.iloc[-1]),))
-        state.setTimeoutDuration(3_600_000)
+        if expire:
+            state.setTimeoutDuration(3_600_000)
         yield rows[keep.to_numpy()][["device_id", "app_pkg", "key", "ms", "arrival"]]
 
     return run
 
 
-def debounce_stream(stream: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
-    """The debounce of `sources.events` in keyed state (device_id, app_pkg, key, ms, arrival); a key's state ends after an hour without rows."""
+def debounce_stream(stream: DataFrame, gap_ms: int = DEBOUNCE_MS, expire: bool = True) -> DataFrame:
+    """The debounce of `sources.events` in keyed state (device_id, app_pkg, key, ms, arrival).
+
+    expire: a key's state ends after an hour without rows. That is for queries that run on; one with `availableNow` would
+    wait for the timeouts and takes False.
+    """
     schema = "device_id bigint, app_pkg string, key string, ms bigint, arrival bigint"
-    return stream.groupBy("device_id", "app_pkg", "key").applyInPandasWithState(_debounce(gap_ms), schema, "ms bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return stream.groupBy("device_id", "app_pkg", "key").applyInPandasWithState(_debounce(gap_ms, expire), schema, "ms bigint", "append", timeout)
 
 
 def _intervals(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
