@@ -27,10 +27,21 @@ def spots(fixes: DataFrame) -> DataFrame:
 
 
 def core_spots(points: DataFrame, eps_m: float = 75.0, least: int = 12) -> DataFrame:
-    """The spots with at least `least` fixes within `eps_m`, themselves included."""
-    pairs = _near(points, points, eps_m)
+    """The spots with at least `least` fixes within `eps_m`, themselves included.
+
+    Spots are laid on a grid whose cells have a diagonal under eps_m: in a cell with `least` fixes all are core without any
+    comparison. Only spots of thin cells, fewer than `least` each, are compared with those around them.
+    """
+    side = eps_m / 2**0.5 * 0.999 / 111_195.0
+    row = F.floor(F.col("lat") / side)
+    widest = F.greatest(F.cos(F.radians(F.when(row >= 0, row).when(row < -1, -row - 1).otherwise(0) * side)), F.lit(0.01))
+    laid = points.withColumn("row", row).withColumn("column", F.floor(F.col("lon") * widest / side))
+    cells = laid.groupBy("device_id", "row", "column").agg((F.sum("n") >= least).alias("dense"))
+    laid = laid.join(cells, ["device_id", "row", "column"]).select(*points.columns, "dense")
+    thin = laid.filter("NOT dense").drop("dense")
+    pairs = _near(thin, points, eps_m)
     n = pairs.join(points.select("device_id", F.col("id").alias("b"), "n"), ["device_id", "b"]).groupBy("device_id", F.col("a").alias("id")).agg(F.sum("n").alias("around")).filter(F.col("around") >= least)
-    return points.join(n.select("device_id", "id"), ["device_id", "id"], "left_semi")
+    return laid.filter("dense").drop("dense").unionByName(thin.join(n.select("device_id", "id"), ["device_id", "id"], "left_semi"))
 
 
 def dbscan(points: DataFrame, eps_m: float = 75.0, least: int = 12, rounds: int = 200) -> DataFrame:
