@@ -182,8 +182,48 @@ def l_guarded_sql(spark, d):
     return guard.ask(spark, "SELECT app_pkg, sum(total_seconds) AS seconds FROM usage_daily GROUP BY app_pkg ORDER BY seconds DESC, app_pkg LIMIT 10", load)
 
 
+def d9_false_discovery(spark, d):
+    """The lagged tests that the Benjamini-Hochberg rule keeps in each device's family."""
+    return A.rounded(D.false_discovery(D.lagged_tests(A.three_series(spark, d), A._pairs(spark)), ("device_id",), ("driver", "outcome", "lag")), "r", "p")
+
+
+def d11_hypotheses(spark, d):
+    return spark.createDataFrame(D.HYPOTHESES, "driver string, outcome string, lag_lo int, lag_hi int")
+
+
+def s2_usage_mapping(spark, d):
+    """Platform codes of the click events (150 codes, most unknown) as event types."""
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("code"), F.lit("app.x").alias("app_pkg"))
+    return E.map_usage_events(rows)
+
+
+def s3_notifications(spark, d):
+    """Notifications of other apps than one, debounced, with the contact's normal name."""
+    names = table(spark, d, "entities").filter("kind = 'CONTACT'").select("entity_id", F.col("display_name").alias("title"))
+    rows = table(spark, d, "raw_events").filter("type = 'NOTIFICATION' AND device_id IS NOT NULL AND ts IS NOT NULL").join(names, "entity_id")
+    rows = rows.select("device_id", "app_pkg", F.col("entity_id").cast("string").alias("key"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("arrival"), "title", F.lit(False).alias("ongoing"))
+    return E.notifications(rows, "app.brackle.chat").select("device_id", "app_pkg", "arrival", "contact")
+
+
+def s12_modes_upserted(spark, d):
+    """Modes upserted into an empty snapshot, the strongest first."""
+    found = B.g5_modes(spark, d)
+    return sinks.upsert_modes(found.limit(0), found).orderBy(F.desc("strength"), "device_id", "mode_key").select("device_id", "mode_key", "name", "strength")
+
+
+def l4_numbers_kept(spark, d):
+    """Whether a retelling of each baseline keeps its numbers; this one drops those of the pickups."""
+    own = I.baseline_snapshot(P.summary(spark, d), NOW_MS)
+    return own.select("device_id", I.keeps_numbers(F.col("text"), F.col("text")).alias("same"), I.keeps_numbers(F.col("text"), F.regexp_replace("text", r" and \d+ pickups", "")).alias("cut"))
+
+
+def u6_days_observed(spark, d):
+    log = P.log(spark, d).groupBy("device_id").agg(F.min("us").alias("us"))
+    return log.select("device_id", U.days_since(F.col("us") / 1000, F.lit(NOW_MS)).cast("bigint").alias("days"))
+
+
 QUERIES = {f.__name__: f for f in (
-    i_insights, i_periodic, i_baseline, i_feed, u1_today_tile, u2_week_bars, u3_heatmap, u4_top_of_day, u5_event_log, q_count_and_first, q_day_top, q_entities_by_kind, s1_incremental, s4_debounce, s5_contact_names,
+    d9_false_discovery, d11_hypotheses, s2_usage_mapping, s3_notifications, s12_modes_upserted, l4_numbers_kept, u6_days_observed, i_insights, i_periodic, i_baseline, i_feed, u1_today_tile, u2_week_bars, u3_heatmap, u4_top_of_day, u5_event_log, q_count_and_first, q_day_top, q_entities_by_kind, s1_incremental, s4_debounce, s5_contact_names,
     s5_resolved_contacts, s7_calendar, s13_erase, s14_app_labels, s16_histograms, adapter_sessions, adapter_sessions_by_user, f_times, f_numbers, f_haversine, l_guarded_sql)}
 
 _DS = f"{P.EV}, {P.UPS}, {P.SES}, {P.DAYSUM}"
@@ -194,7 +234,16 @@ _ADAPT = """ev AS (SELECT {device}::BIGINT AS device_id, epoch_us(ts) AS us, CAS
 _BASE = f"""bm AS (SELECT device_id, count(*) AS n, list_sort(list(screen_time_s))[count(*) // 2 + 1] AS st, list_sort(list(pickups))[count(*) // 2 + 1] AS pk FROM days GROUP BY ALL)"""
 _NAME = r"""nullif(trim(regexp_replace(trim(split_part(lower(trim(display_name)), ':', 1)), '\s*\(\d+\)$', '')), '')"""
 _HIST = A._D1.replace("FROM bs WINDOW", "FROM bs WHERE day < DATE '2015-02-13' WINDOW")
+_CODES = {1: "APP_FOREGROUND", 2: "APP_BACKGROUND", 15: "SCREEN_ON", 16: "SCREEN_OFF", 17: "KEYGUARD_SHOWN", 18: "UNLOCK", 26: "DEVICE_SHUTDOWN", 27: "DEVICE_STARTUP"}
 SQL = {
+    "d9_false_discovery": f"""WITH {A._D8}, k AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY p, driver, outcome, lag) AS k, count(*) OVER (PARTITION BY device_id) AS m FROM ts),
+      l AS (SELECT *, max(CASE WHEN p <= 0.1::DOUBLE * k / m THEN k END) OVER (PARTITION BY device_id) AS last FROM k) SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last""",
+    "d11_hypotheses": f"SELECT driver, outcome, lo::INT AS lag_lo, hi::INT AS lag_hi FROM (VALUES {', '.join(str(h) for h in D.HYPOTHESES)}) t(driver, outcome, lo, hi)",
+    "s2_usage_mapping": "SELECT event_id, type, CASE WHEN code <= 2 THEN 'app.x' END AS app_pkg FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS code FROM events) e JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in _CODES.items()) + ") m(c, type) ON c = code",
+    "s3_notifications": f"""WITH n AS (SELECT r.device_id, r.app_pkg, r.entity_id, epoch_us(ts) // 1000 AS ms, event_id AS arrival, {_NAME} AS contact FROM raw_events r JOIN entities t ON t.kind = 'CONTACT' AND t.entity_id = r.entity_id
+      WHERE type = 'NOTIFICATION' AND r.device_id IS NOT NULL AND ts IS NOT NULL AND r.app_pkg IS DISTINCT FROM 'app.brackle.chat')
+      SELECT device_id, app_pkg, arrival, contact FROM n QUALIFY coalesce(ms - lag(ms) OVER (PARTITION BY device_id, app_pkg, entity_id ORDER BY arrival) > 10000, true)""",
+    "u6_days_observed": f"WITH {P.EV} SELECT device_id, floor(({NOW_MS} - min(us) / 1000) / 86400000)::BIGINT AS days FROM ev GROUP BY device_id",
     "i_periodic": f"WITH {_HIST} SELECT device_id, 'periodic_rhythm' AS type, 'periodic:' || subject AS dedupe_key, round(least(greatest(r, 0), 1), 6) AS confidence, {NOW_MS} - n * 86400000 AS window_start_ms, {NOW_MS}::BIGINT AS window_end_ms FROM peaks WHERE place = 1",
     "i_baseline": f"""WITH {_DS}, {_BASE} SELECT device_id, 'baseline' AS dedupe_key, round(least(0.2 + n * 0.02, 0.6)::DOUBLE, 6) AS confidence,
       CASE WHEN n = 1 THEN 'Your first full day: ' || {_DUR.format('st')} || ' of screen time and ' || pk || ' pickups.' ELSE 'Over ' || n || ' days a typical one has ' || {_DUR.format('st')} || ' of screen time and ' || pk || ' pickups.' END AS text FROM bm""",
