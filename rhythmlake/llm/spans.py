@@ -152,8 +152,20 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+_WINDOW = pa.schema([("part", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("several", pa.bool_())])
+
+
+def _groups(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where the groups of equal hashes begin in sorted rows."""
+    return np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
+
+
 def _repeated(length: int, width: int, sketch):
-    """Windows whose estimate is above one: hash in two parts, doc, place (null where only the group needs the window)."""
+    """Windows whose estimate is above one, aggregated by portion: part, hash in two parts, doc, place (-1: only the group needs it), several.
+
+    A window that several documents of the portion have is sent once as a key (`several`); its places are settled and go on
+    without a hash, spread by document. So a window sends one key a portion, however many documents have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(x, np.uint8) for x in sketch.value]
@@ -164,14 +176,49 @@ def _repeated(length: int, width: int, sketch):
             for row, cells in zip(rows, _cells(first, second, width), strict=True):
                 hit &= _bit(row, cells)
             i = np.flatnonzero(hit)
-            for lo in range(0, len(i), 100_000):
-                j = i[lo : lo + 100_000]
-                cols = [first[j].view(np.int64), second[j].view(np.int64), docs[j], places[j]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int64(), mask=flags[j])], ["h1", "h2", "doc", "at"])
+            if not len(i):
+                continue
+            i = i[np.lexsort((second[i], first[i]))]
+            first, second, doc, place = first[i].view(np.int64), second[i].view(np.int64), docs[i], np.where(flags[i], -1, places[i])
+            begin = _groups(first, second)
+            several = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
+            settled = np.repeat(several, np.diff(np.append(begin, len(i))))
+            own, keys, done = np.flatnonzero(~settled), begin[several], np.flatnonzero(settled & (place >= 0))
+            none = np.zeros(len(done), np.int64)
+            parts = np.concatenate((first[own], first[keys], doc[done]))
+            cols = [np.concatenate(c) for c in ((first[own], first[keys], none), (second[own], second[keys], none), (doc[own], doc[keys], doc[done]), (place[own], np.full(len(keys), -1), place[done]))]
+            flag = np.concatenate((np.zeros(len(own), bool), np.ones(len(keys) + len(done), bool)))
+            for lo in range(0, len(parts), 50_000):
+                cut = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(parts[cut]), *(pa.array(c[cut]) for c in cols), pa.array(flag[cut])], schema=_WINDOW)
 
     return run
 
 
+def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hash to the places (doc, at) of windows that several documents have.
+
+    A group is passed on as soon as its second document is seen; only places in a single document are held until then.
+    """
+    held: list[np.ndarray] | None = None
+    hot = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        h1, h2, doc, at, several = cols
+        begin = _groups(h1, h2)
+        many = np.logical_or.reduceat(several, begin) | (np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin))
+        many[0] |= hot == (h1[0], h2[0])
+        last = begin[-1]
+        hot, held = ((h1[last], h2[last]), None) if many[-1] else (None, [c[last:] for c in cols])
+        out = np.flatnonzero(np.repeat(many, np.diff(np.append(begin, len(h1)))) & (at >= 0))
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(at[out])], ["doc", "at"])
+
+
 def _join_runs(length: int):
     """Places of shared windows sorted by (doc, at) to longest runs of characters; holds one open run."""
 
@@ -208,7 +255,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     Documents with equal texts (by SHA-256) are one class: a class of several is shared from end to end, and only one member goes
     on, so a third of all rows may be copies of one text. Pass one: each partition's count-min sketch of its windows, merged; it
     overestimates, so a window that occurs twice is never ruled out. Pass two: the windows it can't rule out, grouped exactly by
-    a 128-bit hash, with the least and greatest document of each group aggregated before rows are sent.
+    a 128-bit hash, after those of a portion of documents have been aggregated, so a hot window sends one key a portion.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc IS NOT NULL").filter(F.length("text") >= length)
@@ -227,9 +274,9 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         part = zlib.decompress(b.more)
         sketch[b.row][b.block // 8 : b.block // 8 + len(part)] = part
     sent = spark.sparkContext.broadcast([bytes(x) for x in sketch])
-    windows = texts.mapInArrow(_repeated(length, width, sent), "h1 bigint, h2 bigint, doc bigint, at bigint")
-    shared = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h1", "h2")
-    places = windows.filter("at IS NOT NULL").join(shared, ["h1", "h2"], "left_semi").select("doc", "at")
+    windows = texts.mapInArrow(_repeated(length, width, sent), "part bigint, h1 bigint, h2 bigint, doc bigint, at bigint, several boolean")
+    sorted_ = windows.repartition("part").select("h1", "h2", "doc", "at", "several").sortWithinPartitions("h1", "h2")
+    places = sorted_.mapInArrow(_shared_places, "doc bigint, at bigint")
     spans = places.repartition("doc").sortWithinPartitions("doc", "at").mapInArrow(_join_runs(length), "doc_id bigint, span_start bigint, span_end bigint")
     whole = tagged.filter("copied").select(F.col("doc").alias("doc_id"), F.lit(0).cast("bigint").alias("span_start"), F.col("n").alias("span_end")).distinct()
     return spans.unionByName(whole)
