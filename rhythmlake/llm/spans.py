@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from rhythmlake.session import written
 
 #: Rows of the sketch, and the base-2 logarithm of the most counters in a row. A counter is kept as two bits (0, 1, more), so the merged
-#: sketch that is sent to the tasks has at most ROWS * 2**WIDEST / 8 bytes, 16 MB.
-ROWS, WIDEST = 2, 26
+#: sketch that is sent to the tasks has at most ROWS * 2**WIDEST / 8 bytes, 32 MB.
+ROWS, WIDEST = 2, 27
 #: Counters in a block of a sketch while sketches are merged.
 _BLOCK = 1 << 18
 #: Characters hashed at once.
@@ -266,7 +266,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     tagged = written(tagged, "span-texts")
     texts = tagged.filter("text IS NOT NULL").select("doc", "text", "copied")
     chars = tagged.filter("text IS NOT NULL").agg(F.sum("n")).head()[0] or 0
-    width = 1 << min(WIDEST, max(16, int(chars).bit_length()))
+    width = 1 << min(WIDEST, max(16, int(chars).bit_length() + 1))
     blocks = texts.mapInArrow(_sketch(length, width), "row int, block bigint, once binary, more binary")
     merged = blocks.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merge, "row int, block bigint, more binary")
     sketch = [bytearray(width // 8) for _ in range(ROWS)]
