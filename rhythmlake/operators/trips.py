@@ -19,7 +19,7 @@ _DEGREE_M = 111_000.0
 class TripConfig:
     """radius_m: a ping is at a place up to this far. pause_ms: longest time between two pings that reach each other.
     skip: so many other pings may lie between. stop_ms: least length of a stop. trip_ms: longest time between the stops of a trip.
-    bucket_ms: length of the time slices a device's pings are cut into (more than pause_ms)."""
+    bucket_ms: length of the time slices a device's pings are cut into (more than pause_ms and trip_ms)."""
 
     radius_m: float = 150.0
     pause_ms: int = 3_600_000
@@ -47,15 +47,16 @@ def reachability(pings: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
     A ping is reached from its predecessors with at most `skip` others between, so a single wrong ping is a ridge of its own
     and doesn't cut a valley. `reach_m`: the least such distance (null: a ridge); `onward_m`: the least over which it reaches a successor.
 
-    leg_m is the way from the ping before, where a single ping off the way between two close ones counts nothing.
+    leg_m is the way from the ping before, however long ago, where a single ping off the way between two close ones (at most
+    `pause_ms` apart) counts nothing.
 
     Result: device_id, bucket, us, lat, lon, halo, seq, leg_m, reach_m, onward_m. Pings of one device with the same ts are one
-    (the least lat, lon). A device's pings are cut into slices of `bucket_ms`; those that can reach into the next slice
-    are given to it as well, marked `halo`, so each slice is complete by itself and a hot device is spread over its slices.
+    (the least lat, lon). A device's pings are cut into slices of `bucket_ms`; those that can reach into the next slice,
+    or from which a trip can go on there, are given to it as well, marked `halo`, so each slice is complete by itself and a hot device is spread over its slices.
     """
     us_bucket, us_pause = cfg.bucket_ms * 1000, cfg.pause_ms * 1000
     home = F.call_function("div", F.col("us") - F.pmod("us", F.lit(us_bucket)), F.lit(us_bucket))
-    late = F.pmod("us", F.lit(us_bucket)) >= us_bucket - us_pause
+    late = F.pmod("us", F.lit(us_bucket)) >= us_bucket - max(us_pause, cfg.trip_ms * 1000)
     sliced = pings.withColumn("home", home).select("*", F.explode(F.when(late, F.array("home", F.col("home") + 1)).otherwise(F.array("home"))).alias("bucket"))
     sliced = sliced.repartition("device_id", "bucket").groupBy("device_id", "bucket", "us").agg(F.min(F.struct("lat", "lon")).alias("p"), F.first("home").alias("home"))
     w = Window.partitionBy("device_id", "bucket").orderBy("us")
@@ -66,8 +67,10 @@ def reachability(pings: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
 
     # a wrong ping between two that are close together adds nothing to the path
     eps = 2 * cfg.radius_m + 0.01
-    around = haversine_m(F.lag("p").over(w)["lat"], F.lag("p").over(w)["lon"], F.lead("p").over(w)["lat"], F.lead("p").over(w)["lon"])
-    leg = F.when((to(1) > eps) & (around <= eps), 0.0).when((to(1) > eps) & (to(2) <= eps), to(2)).otherwise(to(1))
+    before, after = F.lag("p").over(w), F.lead("p").over(w)
+    way = haversine_m(before["lat"], before["lon"], F.col("p.lat"), F.col("p.lon"))
+    around = F.when(F.lead("us").over(w) - F.lag("us").over(w) <= us_pause, haversine_m(before["lat"], before["lon"], after["lat"], after["lon"]))
+    leg = F.when((way > eps) & (around <= eps), 0.0).when((way > eps) & (to(2) <= eps), to(2)).otherwise(way)
     steps = range(1, cfg.skip + 2)
     plot = sliced.select(
         "device_id", "bucket", "us", "p", (F.col("home") != F.col("bucket")).alias("halo"), F.row_number().over(w).alias("seq"),

@@ -145,6 +145,17 @@ def test_trips(spark):
     assert trips_from_pings(df.limit(0), places).count() == 0 and trips_from_pings(df, places.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start", [600, 1380, 1430])
+def test_trip_with_a_pause(spark, start):
+    """Two hours without a ping in a trip, within a day and over its end: the way travelled in them counts, also there and back."""
+    df = spark.createDataFrame(pings((1, start - 20, 50.0, 8.0), (1, start, 50.0, 8.0), (1, start + 120, 50.08, 8.0), (1, start + 140, 50.1, 8.0), (1, start + 160, 50.1, 8.0)), PING)
+    back = spark.createDataFrame(pings((1, start - 20, 50.0, 8.0), (1, start, 50.0, 8.0), (1, start + 50, 50.3, 8.0), (1, start + 100, 50.0, 8.0), (1, start + 140, 50.1, 8.0), (1, start + 160, 50.1, 8.0)), PING)
+    places = spark.createDataFrame(PLACES, "device_id long, place_id long, lat double, lon double")
+    for rows, least, most in ((df, 11_100, 11_130), (back, 77_800, 77_900)):
+        far = {r.kind + str(r.from_place_id): r.distance_m for r in with_distance(trips_from_pings(rows, places), reachability(read_pings(rows))).collect()}
+        assert far.keys() == {"stop10", "stop11", "trip10"} and least < far["trip10"] < most and far["stop10"] == far["stop11"] == 0
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_trips_brute_force(spark, seed):
     rnd = random.Random(seed)
