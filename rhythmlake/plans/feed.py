@@ -198,10 +198,10 @@ def s2_usage_mapping(spark, d):
 
 
 def s3_notifications(spark, d):
-    """Notifications of other apps than one, debounced, with the contact's normal name."""
+    """Notifications of other apps than one, debounced, with the contact's normal name; null without a contact."""
     names = table(spark, d, "entities").filter("kind = 'CONTACT'").select("entity_id", F.col("display_name").alias("title"))
-    rows = table(spark, d, "raw_events").filter("type = 'NOTIFICATION' AND device_id IS NOT NULL AND ts IS NOT NULL").join(names, "entity_id")
-    rows = rows.select("device_id", "app_pkg", F.col("entity_id").cast("string").alias("key"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("arrival"), "title", F.lit(False).alias("ongoing"))
+    rows = table(spark, d, "raw_events").filter("type = 'NOTIFICATION' AND device_id IS NOT NULL AND ts IS NOT NULL").join(names, "entity_id", "left")
+    rows = rows.select("device_id", "app_pkg", F.coalesce(F.col("entity_id").cast("string"), F.lit("")).alias("key"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("arrival"), "title", F.lit(False).alias("ongoing"))
     return E.notifications(rows, "app.brackle.chat").select("device_id", "app_pkg", "arrival", "contact")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rhythmlake.operators import insights, screens
+from rhythmlake.plans import feed
 from rhythmlake.sources import events, guard, sinks
 from rhythmlake.streaming import jobs
 
@@ -106,3 +107,12 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(own.schema).parquet(str(tmp_path / "i"))
     jobs.interval_stream(stream).writeStream.format("memory").queryName("per").option("checkpointLocation", str(tmp_path / "c4")).outputMode("update").trigger(availableNow=True).start().awaitTermination()
     assert {(r.kind, r.start_us, r.end_us, r.n) for r in spark.table("per").collect()} == {("period", 0, 6, 2), ("period", 9, 12, 1), ("gap", 6, 9, 0)}
+
+
+def test_notifications_without_a_contact(spark, tmp_path):
+    """They are recorded too, debounced under one key of the app."""
+    at = lambda s: datetime(2015, 1, 5, tzinfo=timezone.utc) + timedelta(seconds=s)
+    rows = [(1, 1, at(0), 10), (2, 1, at(1), None), (3, 1, at(5), None), (4, 1, at(30), None), (5, 1, at(31), 99), (6, None, at(0), None)]
+    spark.createDataFrame([(*r, "NOTIFICATION", "app.x") for r in rows], "event_id long, device_id long, ts timestamp, entity_id long, type string, app_pkg string").write.parquet(f"{tmp_path}/raw_events.parquet")
+    spark.createDataFrame([(10, "CONTACT", "Ann (2)"), (99, "PLACE", "Home")], "entity_id long, kind string, display_name string").write.parquet(f"{tmp_path}/entities.parquet")
+    assert {tuple(r) for r in feed.s3_notifications(spark, str(tmp_path)).collect()} == {(1, "app.x", 1, "ann"), (1, "app.x", 2, None), (1, "app.x", 4, None), (1, "app.x", 5, None)}
