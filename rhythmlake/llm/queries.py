@@ -28,19 +28,19 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", *[F.round(c, 6).alias(c) for c in ("expected", "lift", "llr")])
 
 
-def _patterns(spark: SparkSession, d: str) -> DataFrame:
+def _patterns(spark: SparkSession, d: str, length: int | None, distinct: bool) -> DataFrame:
     rows = table(spark, d, "sessions").select("device_id", "day_key", app_name("app_pkg").alias("app_pkg"), micros("start_ts").alias("us"))
-    return frequent_subsequences(rows, ("device_id", "day_key"), ("us",), "app_pkg")
+    return frequent_subsequences(rows, ("device_id", "day_key"), ("us",), "app_pkg", length=length, distinct=distinct)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("pattern")
-    return _patterns(spark, d).filter(F.size(p) == 3).select(p[0].alias("app_1"), p[1].alias("app_2"), p[2].alias("app_3"))
+    return _patterns(spark, d, 3, True).filter(F.size(p) == 3).select(p[0].alias("app_1"), p[1].alias("app_2"), p[2].alias("app_3"))
 
 
 def p5_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """All frequent patterns of one to three apps with their support counts."""
-    return _patterns(spark, d).select(F.array_join("pattern", ">").alias("pattern"), "n_sequences", "n_all")
+    """All frequent patterns of any length, also with an app that returns, with their support counts."""
+    return _patterns(spark, d, None, False).select(F.array_join("pattern", ">").alias("pattern"), "n_sequences", "n_all")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +80,20 @@ def test_subsequences(spark, chunk, block):
     assert len(out) == len(want) and {tuple(r.pattern): r.n_sequences for r in out} == want and {r.n_all for r in out} == {n}
 
 
+@pytest.mark.parametrize("distinct", [False, True])
+def test_subsequences_of_any_length(spark, distinct):
+    """Patterns of four and more steps, a returning app and a run, against brute force."""
+    rnd = random.Random(8)
+    days = {f"d{i}": ["a", "b", "a", "a", "c", "d", "e"] if i % 3 == 0 else rnd.choices("abcde", k=5) for i in range(60)}
+    rows = [row(1, d, x, us) for d, apps in days.items() for us, x in enumerate(apps)]
+    rows += rows[:150]
+    want = Counter(p for apps in days.values() for p in {p for k in range(1, 8) for p in itertools.combinations(apps, k) if not distinct or len(set(p)) == k})
+    want = {p: n for p, n in want.items() if n >= 12}
+    out = subsequences.frequent_subsequences(spark.createDataFrame(rows, ROWS), ("device_id", "day"), ("us",), "app", share=(20, 100), length=None, distinct=distinct, block=50).collect()
+    assert len(out) == len(want) and {tuple(r.pattern): r.n_sequences for r in out} == want
+    assert ("a", "b", "c", "d", "e") in want and (distinct or {("a", "b", "a"), ("a", "a"), ("a", "b", "a", "a", "c", "d", "e")} <= want.keys())
+
+
 def test_subsequences_edges(spark):
     df = spark.createDataFrame([row(1, "d", None), row(None, "d", "a")], ROWS)
     assert subsequences.frequent_subsequences(df, ("device_id", "day"), ("us",), "app").count() == 0
