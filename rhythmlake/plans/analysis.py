@@ -105,7 +105,25 @@ def d10_lagged_correlation(spark, d):
     return rounded(D.lagged_correlation(three_series(spark, d), _pairs(spark)), "r", "p")
 
 
-QUERIES = {f.__name__: f for f in (t1_behaviour_series, t2_top_apps, t3_cross_series, d1_periodicity, d2_change_point, d3_deviation, d4_chronotype, d5_upper_median, d6_average_ranks, d8_lagged_tests, d10_lagged_correlation)}
+def hypotheses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(D.HYPOTHESES, "driver string, outcome string, lag_lo int, lag_hi int")
+
+
+def d8_hypotheses(spark, d):
+    """The lagged tests of the default hypotheses."""
+    return rounded(D.lagged_tests(cross(spark, d), hypotheses(spark)), "r", "p")
+
+
+def d9_hypotheses(spark, d):
+    """Those of them that the Benjamini-Hochberg rule keeps in each device's family."""
+    return rounded(D.false_discovery(D.lagged_tests(cross(spark, d), hypotheses(spark)), ("device_id",), ("driver", "outcome", "lag")), "r", "p")
+
+
+def d10_hypotheses(spark, d):
+    return rounded(D.lagged_correlation(cross(spark, d), hypotheses(spark)), "r", "p")
+
+
+QUERIES = {f.__name__: f for f in (t1_behaviour_series, t2_top_apps, t3_cross_series, d1_periodicity, d2_change_point, d3_deviation, d4_chronotype, d5_upper_median, d6_average_ranks, d8_lagged_tests, d10_lagged_correlation, d8_hypotheses, d9_hypotheses, d10_hypotheses)}
 
 UD = f"""ud AS (SELECT device_id, {_DAY} AS day, lower(trim(app_pkg)) AS app_pkg, coalesce(max(total_seconds), 0)::BIGINT AS secs, coalesce(max(open_count), 0)::BIGINT AS opens FROM usage_daily
   WHERE device_id IS NOT NULL AND app_pkg IS NOT NULL AND {_DAY} IS NOT NULL GROUP BY ALL),
@@ -172,3 +190,14 @@ SQL = {
       SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last AND abs(r) >= 0.3
       QUALIFY row_number() OVER (PARTITION BY device_id, driver, outcome ORDER BY round(abs(r), 9) DESC, lag) = 1""",
 }
+_D8H = f"""sr AS (SELECT device_id, series, day::DATE AS day, value AS v FROM ({SQL["t3_cross_series"]})),
+pr AS (SELECT driver, outcome, unnest(range(lo, hi + 1))::INT AS lag FROM (VALUES {", ".join(str(p) for p in D.HYPOTHESES)}) t(driver, outcome, lo, hi)),
+{_D8[_D8.index("j AS (SELECT x.device_id") :]}"""
+_BH = """k AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY p, driver, outcome, lag) AS k, count(*) OVER (PARTITION BY device_id) AS m FROM ts),
+l AS (SELECT *, max(CASE WHEN p <= 0.1::DOUBLE * k / m THEN k END) OVER (PARTITION BY device_id) AS last FROM k)"""
+SQL |= {
+    "d8_hypotheses": f"WITH {_D8H} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM ts",
+    "d9_hypotheses": f"WITH {_D8H}, {_BH} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last",
+    "d10_hypotheses": f"""WITH {_D8H}, {_BH} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last AND abs(r) >= 0.3
+      QUALIFY row_number() OVER (PARTITION BY device_id, driver, outcome ORDER BY round(abs(r), 9) DESC, lag) = 1""",
+}

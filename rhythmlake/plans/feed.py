@@ -29,6 +29,12 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return I.before_today(A.behaviour(spark, d), F.lit("2015-02-13").cast("date"))
 
 
+def feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Findings on the default hypotheses, without today."""
+    past = I.before_today(A.cross(spark, d), F.lit("2015-02-13").cast("date"))
+    return I.feedback_loop(D.lagged_correlation(past, A.hypotheses(spark)), NOW_MS)
+
+
 def drafts(spark: SparkSession, d: str) -> DataFrame:
     """All thirteen kinds of findings."""
     series, past = A.behaviour(spark, d), history(spark, d)
@@ -42,7 +48,7 @@ def drafts(spark: SparkSession, d: str) -> DataFrame:
     return I.all_drafts([
         I.periodic_rhythm(past, NOW_MS), I.habit_shift(past, NOW_MS), I.unusual_day(same_kind, points, NOW_MS),
         I.reflex_checks(summary.select("device_id", F.col("reflex_checks").cast("double").alias("value")), NOW_MS, least=1.0), chrono,
-        I.feedback_loop(D.lagged_correlation(A.three_series(spark, d), A._pairs(spark)), NOW_MS), I.routine(Q.routines(Q.frequent_sequences(B.sequences(spark, d), share=0.1)), NOW_MS),
+        feedback(spark, d), I.routine(Q.routines(Q.frequent_sequences(B.sequences(spark, d), share=0.1)), NOW_MS),
         I.baseline_snapshot(summary, NOW_MS), I.early_top_apps(done, n_days, NOW_MS), I.early_chronotype(mornings, chrono, NOW_MS),
         I.comms_timing(B.C.timing(B.contacts(spark, d)), NOW_MS), I.relationship_drift(B.C.drift(B.contacts(spark, d)), NOW_MS), I.place_rhythm(B.L.weekend_places(B.place_day_rows(spark, d), places, 2, 0.4), NOW_MS),
     ])
@@ -188,7 +194,7 @@ def d9_false_discovery(spark, d):
 
 
 def d11_hypotheses(spark, d):
-    return spark.createDataFrame(D.HYPOTHESES, "driver string, outcome string, lag_lo int, lag_hi int")
+    return A.hypotheses(spark)
 
 
 def s2_usage_mapping(spark, d):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rhythmlake.operators import comms, detectors, graph, places, rollups, sequences, series
+from rhythmlake.plans import analysis, feed
 
 DAY = datetime(2026, 7, 10, tzinfo=timezone.utc)
 RAW = "event_id long, device_id long, ts timestamp, type string, app_pkg string, entity_id long, payload string, source string"
@@ -210,3 +211,25 @@ def test_series(spark):
     assert days.count() == 3
     out = series.behaviour_series(days)
     assert out.filter("subject = 'app:a'").count() == 4 and out.filter("subject = 'screen_time'").count() == 2
+
+
+def event_table(spark, folder, days=20):
+    """A log in which the later a day begins, the longer and the more often (under 15 seconds) the screen is on."""
+    rows, late = [], random.Random(9).sample(range(days), days)
+    for day, k in enumerate(late):
+        at = datetime(2015, 1, 5, 8, tzinfo=timezone.utc) + timedelta(days=day, minutes=k)
+        for begin, seconds in [(0, 600 + 120 * k), *((7200 + 60 * i, 10) for i in range(k % 7 + 1))]:
+            rows += [(at + timedelta(seconds=begin), UN, None), (at + timedelta(seconds=begin), FG, "a"), (at + timedelta(seconds=begin + seconds), OFF, None)]
+    raw = [(i, 1, t, kind, app, None, None, "USAGE_STATS") for i, (t, kind, app) in enumerate(rows)]
+    spark.createDataFrame(raw, RAW).write.parquet(f"{folder}/raw_events.parquet")
+    return late
+
+
+def test_default_hypotheses_are_tested(spark, tmp_path):
+    event_table(spark, tmp_path)
+    tests = analysis.d8_hypotheses(spark, str(tmp_path)).collect()
+    assert {(r.driver, r.outcome, r.lag) for r in tests} == {h[:3] for h in detectors.HYPOTHESES} and {r.n for r in tests} == {19, 20}
+    pair = ("first_unlock_min", "screen_time")
+    for query in (analysis.d9_hypotheses, analysis.d10_hypotheses):
+        assert [(r.lag, r.r) for r in query(spark, str(tmp_path)).collect() if (r.driver, r.outcome) == pair] == [(0, 1.0)]
+    assert "lagcorr:first_unlock_min>screen_time@0" in {r.dedupe_key for r in feed.feedback(spark, str(tmp_path)).collect()}
