@@ -30,8 +30,11 @@ def top_apps(days: DataFrame, n: int = TOP_APPS) -> DataFrame:
     return sums.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("device_id", "app_pkg", "total_seconds", "place")
 
 
-def behaviour_series(days: DataFrame, n: int = TOP_APPS) -> DataFrame:
-    """screen_time and pickups of observed days, and the top apps of each device on every day of its span, 0 where unused."""
+def behaviour_series(days: DataFrame, n: int = TOP_APPS, summary: DataFrame | None = None) -> DataFrame:
+    """screen_time and pickups of observed days, and the top apps of each device on every day of its span, 0 where unused.
+
+    summary: device_id, date, reflex_checks; if given, its days make up the series reflex_checks.
+    """
     per_day = day_totals(days)
     observed = per_day.select("device_id", F.explode(F.array(
         F.struct(F.lit("screen_time").alias("subject"), F.lit("screen time").alias("label"), F.lit("SECONDS").alias("unit"), F.col("screen_time_s").alias("value")),
@@ -41,7 +44,11 @@ def behaviour_series(days: DataFrame, n: int = TOP_APPS) -> DataFrame:
     grid = top_apps(days, n).join(span, "device_id").select("device_id", "app_pkg", F.explode(times.days_between(F.col("a"), F.col("b"))).alias("day"))
     filled = grid.join(days.select("device_id", "app_pkg", "day", "total_seconds"), ["device_id", "app_pkg", "day"], "left")
     apps = filled.select("device_id", F.concat(F.lit("app:"), "app_pkg").alias("subject"), F.element_at(F.split("app_pkg", r"\."), -1).alias("label"), F.lit("SECONDS").alias("unit"), "day", F.coalesce("total_seconds", F.lit(0)).cast("double").alias("value"))
-    return observed.unionByName(apps)
+    out = observed.unionByName(apps)
+    if summary is None:
+        return out
+    checks = summary.select("device_id", F.lit("reflex_checks").alias("subject"), F.lit("quick checks").alias("label"), F.lit("COUNT").alias("unit"), F.col("date").alias("day"), F.col("reflex_checks").cast("double").alias("value"))
+    return out.unionByName(checks)
 
 
 def cross_series(summary: DataFrame, hourly: DataFrame) -> DataFrame:

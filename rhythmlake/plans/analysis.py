@@ -19,7 +19,7 @@ def days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def behaviour(spark: SparkSession, d: str) -> DataFrame:
-    return S.behaviour_series(days(spark, d))
+    return S.behaviour_series(days(spark, d), summary=P.summary(spark, d))
 
 
 def rounded(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:

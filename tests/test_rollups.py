@@ -233,3 +233,11 @@ def test_default_hypotheses_are_tested(spark, tmp_path):
     for query in (analysis.d9_hypotheses, analysis.d10_hypotheses):
         assert [(r.lag, r.r) for r in query(spark, str(tmp_path)).collect() if (r.driver, r.outcome) == pair] == [(0, 1.0)]
     assert "lagcorr:first_unlock_min>screen_time@0" in {r.dedupe_key for r in feed.feedback(spark, str(tmp_path)).collect()}
+
+
+def test_reflex_checks_are_a_series(spark, tmp_path):
+    late = event_table(spark, tmp_path, 10)
+    spark.createDataFrame([(1, "2015-01-05", "a", 100, 1)], "device_id long, date string, app_pkg string, total_seconds int, open_count int").write.parquet(f"{tmp_path}/usage_daily.parquet")
+    out = analysis.t1_behaviour_series(spark, str(tmp_path)).collect()
+    assert {r.subject for r in out} == {"screen_time", "pickups", "reflex_checks", "app:a"}
+    assert [(str(r.day), r.value) for r in sorted(out, key=lambda r: str(r.day)) if r.subject == "reflex_checks"] == [(f"2015-01-{5 + i:02}", k % 7 + 1.0) for i, k in enumerate(late)]
