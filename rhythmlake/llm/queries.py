@@ -13,18 +13,18 @@ from rhythmlake.llm.tokens import decode_corpus, encode_corpus, token_bytes, tok
 from rhythmlake.sources.tables import app_name, micros, table
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, least: int) -> DataFrame:
     rows = table(spark, d, "sessions").select("device_id", "day_key", app_name("app_pkg").alias("app_pkg"))
-    return cooccurrence(rows, ("device_id", "day_key"), "app_pkg")
+    return cooccurrence(rows, ("device_id", "day_key"), "app_pkg", min_count=least)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return significant(_pairs(spark, d)).select(F.col("item_a").alias("app_a"), F.col("item_b").alias("app_b"))
+    return significant(_pairs(spark, d, 10)).select(F.col("item_a").alias("app_a"), F.col("item_b").alias("app_b"))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair in 10 baskets or more with its measures."""
-    out = _pairs(spark, d)
+    """Every pair that shares a basket with its measures."""
+    out = _pairs(spark, d, 1)
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", *[F.round(c, 6).alias(c) for c in ("expected", "lift", "llr")])
 
 

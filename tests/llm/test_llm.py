@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rhythmlake.llm import packing, spans, subsequences, tokens
+from rhythmlake.llm import packing, queries, spans, subsequences, tokens
 from rhythmlake.llm.cooccurrence import cooccurrence, significant
 
 ROWS = "device_id long, day string, app string, us long, item string, s0 long, n long"
@@ -56,6 +56,14 @@ def test_cooccurrence_hot_and_empty(spark):
     assert cooccurrence(df.limit(0), ("device_id", "day"), "app").count() == 0
 
 
+def test_all_pairs_are_given(spark, tmp_path):
+    """p2_pairs also has the pairs of fewer than ten baskets; p2_found needs ten."""
+    rows = [(1, f"d{i}", a) for i in range(10) for a in ("a", "b")] + [(1, "e0", "a"), (1, "e0", "c")] + [(1, f"f{i}", "z") for i in range(30)]
+    spark.createDataFrame(rows, "device_id long, day_key string, app_pkg string").write.parquet(f"{tmp_path}/sessions.parquet")
+    assert {(r.item_a, r.item_b, r.n_ab, r.n_a, r.n_b, r.n_baskets) for r in queries.p2_pairs(spark, str(tmp_path)).collect()} == {("a", "b", 10, 11, 10, 41), ("a", "c", 1, 11, 1, 41)}
+    assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [("a", "b")]
+
+
 def brute_patterns(rows, least, share):
     seqs = {}
     for r in rows:
