@@ -102,10 +102,11 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the ids of their words to one row a document, ids in the order of its words."""
     for batch in batches:
         for i in range(batch.num_rows):
-            docs, sizes, codes = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(3))
+            docs = batch.column(0)[i].values  # stays in Arrow: an id may be null
+            sizes, codes = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2))
             found = batch.column(3)[i].values  # null: a block without words
             if found is None or not len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([[]] * len(docs), pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([docs, pa.array([[]] * len(docs), pa.list_(pa.int32()))], ["doc_id", "ids"])
                 continue
             at = found.field("code").to_numpy()
             ids = found.field("ids")
@@ -122,7 +123,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(docs), step):
                 hi = min(len(docs), lo + step)
                 values = pa.array(out[cuts[lo] : cuts[hi]], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts[lo : hi + 1] - cuts[lo], pa.int32()), values)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([docs.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cuts[lo : hi + 1] - cuts[lo], pa.int32()), values)], ["doc_id", "ids"])
 
 
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -161,6 +161,15 @@ def test_encoding_other_vocabulary(spark):
     assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_encoding_without_an_id(spark, words):
+    """A null doc_id stays null, and the ids beside it stay exact; also in a block without words."""
+    rows = [(i, f"text {k}" if words else "") for k, i in enumerate((None, 2**53 + 1, 7, None))]
+    encoded = tokens.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    back = [(r.doc_id, r.text) for r in tokens.decode_corpus(encoded, tokens.token_bytes(spark)).collect()]
+    assert sorted(back, key=str) == sorted(rows, key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_packing(spark, seed):
     rnd = random.Random(seed)
