@@ -115,7 +115,7 @@ def stops_at_places(plot: DataFrame, places: DataFrame, cfg: TripConfig = TripCo
 
 
 def stops_and_trips(stops: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
-    """Ridges between valleys: a trip joins two stops of a device that follow each other (by start, then place), at
+    """A trip, found from the stops alone and not from the plot, joins two stops of a device that follow each other (by start, then place), at
     different places, with at most `trip_ms` between the end of the first and the start of the second.
 
     Result: kind, device_id, from_place_id, to_place_id, start_us, end_us. The stops of a device are bounded by time
