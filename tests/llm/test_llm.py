@@ -227,37 +227,66 @@ def brute_spans(texts, length):
 SPANS = "doc_id long, text string, doc long, at long, h1 long"
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_spans(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "way"), [(0, {}), (1, {}), (2, {"sent": 0}), (3, {"hot": 0}), (4, {"sent": 0, "hot": 3})])
+def test_spans(spark, seed, way):
+    """Also where the sketch may not be sent (sent), and where anchors are grouped by window (hot)."""
     rnd = random.Random(seed)
     parts = ["".join(rnd.choices("abé中😀 ", k=rnd.randrange(5, 40))) for _ in range(12)]
     texts = [(i, "".join(rnd.choices(parts, k=rnd.randrange(0, 8)))) for i in range(60)]
     texts[3] = (3, "".join(parts[:4]))  # long enough to have windows
     texts += [(100, None), (101, ""), (102, "=" * 300), (103, "=" * 25), (104, "=" * 19), (105, texts[3][1]), (106, texts[3][1]), texts[4], texts[4], (107, "z" * 50)]
+    texts += [(108, "xyz" * 40), (109, "q" + "yzx" * 9), (110, "".join(parts[:4]) * 3), (111, "w" * 30 + parts[0] + "w" * 30)]
     df = spark.createDataFrame([(*t, 0, 0, 0) for t in texts], SPANS)
-    got = [tuple(r) for r in spans.shared_spans(df, length=20).collect()]
+    got = [tuple(r) for r in spans.shared_spans(df, length=20, **way).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_spans(texts, 20)
-    assert spans.shared_spans(df.limit(0)).count() == 0
-    share = {r.doc_id: r.share for r in spans.shared_share(df.dropDuplicates(["doc_id"]), spans.shared_spans(df, length=20)).collect()}
+    assert spans.shared_spans(df.limit(0), **way).count() == 0
+    share = {r.doc_id: r.share for r in spans.shared_share(df.dropDuplicates(["doc_id"]), spans.shared_spans(df, length=20, **way)).collect()}
     assert share[100] == share[101] == share[107] == 0 and share[103] == share[105] == 1
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 7])
+def test_spans_of_any_length(spark, length):
+    rnd = random.Random(length)
+    texts = [(i, "".join(rnd.choices("abcdefghijkl", k=rnd.randrange(0, 15)))) for i in range(40)]
+    got = [tuple(r) for r in spans.shared_spans(spark.createDataFrame(texts, "doc_id long, text string"), length=length).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(texts, length)
+
+
 def test_spans_in_pieces(monkeypatch):
-    """Texts longer than a portion are cut without losing a window."""
+    """Texts longer than a portion are cut without losing a window; equal windows have the same anchor, at the same place within."""
     monkeypatch.setattr(spans, "_CHARS", 50)
     import pyarrow as pa
 
     rnd = random.Random(7)
     texts = ["".join(rnd.choices("ab", k=n)) for n in (10, 49, 50, 51, 500, 69)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts), pa.array([False] * 6)], ["doc", "text", "copied"])
-    hashed, got = spans._Windows(10), {}
-    for chars, at, d, places, _ in spans._pieces(iter([batch]), 10):
+    hashed, anchors, got = spans._Windows(10), spans._Anchors(10), {}
+    for portion in spans._pieces(iter([batch]), 10):
+        chars, sizes, docs, bases, _ = portion
         first, second = hashed.of(chars)
-        for x in zip(d.tolist(), places.tolist(), first[at].tolist(), second[at].tolist(), strict=True):
-            assert x[:2] not in got
-            got[x[:2]] = x[2:]
+        begins = np.cumsum(sizes) - sizes
+        places, _ = anchors.of(chars)
+        for anchor, piece, begin, n in zip(*(x.tolist() for x in anchors.stretches(portion)), strict=True):
+            for i in range(begin, begin + n):
+                key = (int(docs[piece]), int(bases[piece] + i - begins[piece]))
+                assert key not in got
+                got[key] = int(first[i]), int(second[i]), anchor, int(places[i]) - i
     assert set(got) == {(i, p) for i, t in enumerate(texts) for p in range(len(t) - 9)}
     by = {}
     for (i, p), h in got.items():
         by.setdefault(h, set()).add(texts[i][p : p + 10])
     assert all(len(x) == 1 for x in by.values()) and len(by) == len({texts[i][p : p + 10] for i, p in got})
+
+
+def test_prefilter_passes_as_few_when_texts_grow():
+    """Anchors that don't repeat are ruled out at any number of them: the sketch grows with the corpus."""
+    rnd = np.random.default_rng(5)
+    rates = []
+    for n in (40_000, 640_000):
+        width = 1 << max(18, (spans.COUNTERS * 4 * n * 25 // 100).bit_length())
+        anchors = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        hit = np.ones(len(anchors), bool)
+        for cells in spans._cells(anchors, width):
+            hit &= np.bincount(cells, minlength=width)[cells] > 1
+        rates.append(hit.mean())
+    assert max(rates) < 0.02
