@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from rhythmlake.session import written
 
-#: Most documents in an enumerated pattern, and sweeps of the least-squares fit.
-FEW, SWEEPS = 24, 40
+#: Most pieces in a pattern, halvings of a container that patterns fill (a container, its halves and its quarters), sweeps of the
+#: least-squares fit, and fits of what a fit has left before the rest is packed by best fit.
+FEW, HALVINGS, SWEEPS, ROUNDS = 3, 2, 100, 2
 #: Pieces ranked together in one task, about.
 RANKED = 250_000
 
@@ -23,6 +24,8 @@ class Plan:
     """Kinds of containers: what lengths each holds (length: how many) and how many containers are of the kind."""
 
     kinds: list[tuple[dict[int, int], int]] = field(default_factory=list)
+    #: How many of the kinds, the first ones, come from fitted patterns.
+    fitted: int = 0
 
     def slots(self) -> tuple[np.ndarray, ...]:
         """Sorted arrays (length, first rank, pieces a container, first container): where the pieces of each length go, by rank."""
@@ -39,53 +42,60 @@ class Plan:
     def n_containers(self) -> int:
         return sum(n for _, n in self.kinds)
 
-
-def patterns(histogram: np.ndarray, capacity: int, few: int = FEW) -> list[dict[int, int]]:
-    """Patterns of one or two lengths, each several times, that fill a container without rest.
-
-    For each length and number of times, the partner is the length most frequent in the histogram among those that divide the rest.
-    """
-    present = np.flatnonzero(histogram)
-    out = []
-    for a in present[::-1].tolist():
-        for i in range(1, min(few, capacity // a) + 1):
-            rest = capacity - i * a
-            if rest == 0:
-                out.append({a: i})
-                continue
-            b = present[(present <= rest) & (present != a)]
-            b = b[(rest % b == 0) & (rest // b + i <= few)]
-            if len(b):
-                best = int(b[np.argmax(histogram[b] / (rest // b))])
-                out.append({a: i, best: rest // best})
-    return out
+    @property
+    def n_fitted(self) -> int:
+        return sum(n for _, n in self.kinds[: self.fitted])
+
+
+def patterns(histogram: np.ndarray, size: int) -> list[dict[int, int]]:
+    """All patterns of one to FEW pieces whose lengths occur in the histogram (often enough) and add up to `size`."""
+    there = histogram[: size + 1] > 0
+    there[0] = False
+    lengths = np.flatnonzero(there)
+    found = [(size,)] if there[size] else []
+    second = lengths[(size - lengths >= lengths) & there[size - lengths]]
+    found += zip((size - second).tolist(), second.tolist(), strict=True)
+    for a in lengths.tolist():
+        b = lengths[(lengths <= a) & (lengths < size - a)]
+        c = size - a - b
+        fits = (c <= b) & there[c]
+        found += ((a, *x) for x in zip(b[fits].tolist(), c[fits].tolist(), strict=True))
+    counted = ({k: p.count(k) for k in p} for p in found)
+    return [c for c in counted if len(c) == FEW or all(histogram[k] >= m for k, m in c.items())]
 
 
 def fit(histogram: np.ndarray, columns: list[dict[int, int]], sweeps: int = SWEEPS) -> np.ndarray:
     """Non-negative least squares: repeat counts x >= 0 of the patterns that bring their lengths nearest to the histogram.
 
-    Coordinate descent; each pattern has few lengths, so a step touches few entries.
+    Multiplicative updates (Lee and Seung): x *= (A'b) / (A'Ax). The error never grows, and x stays at 0 or above.
     """
-    x = np.zeros(len(columns))
-    rest = histogram.astype(float).tolist()
-    items = [list(c.items()) for c in columns]
-    norms = [sum(m * m for _, m in c) for c in items]
-    for _ in range(sweeps):
-        moved = 0.0
-        for p, (col, norm) in enumerate(zip(items, norms, strict=True)):
-            step = sum(m * rest[k] for k, m in col) / norm
-            new = max(0.0, x[p] + step)
-            step = new - x[p]
-            if step:
-                x[p] = new
-                for k, m in col:
-                    rest[k] -= m * step
-                moved += abs(step)
-        if moved < 0.5:
-            break
+    b = histogram.astype(float)
+    b[0] = 0
+    n = np.array([len(c) for c in columns], dtype=np.int64)
+    at = np.fromiter((k for c in columns for k in c), np.int64, n.sum())
+    times = np.fromiter((m for c in columns for m in c.values()), float, n.sum())
+    of, first = np.repeat(np.arange(len(columns)), n), np.cumsum(n) - n
+    x = np.full(len(columns), b.sum() / max(1, len(at)))
+    target = np.add.reduceat(times * b[at], first) if len(columns) else x
+    for _ in range(sweeps if len(columns) else 0):
+        reached = np.bincount(at, weights=times * x[of], minlength=len(b))
+        x *= target / np.maximum(np.add.reduceat(times * reached[at], first), 1e-12)
     return x
 
 
+def paired(blocks: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[dict[int, int], int]], dict[int, int] | None]:
+    """Kinds of half containers two by two to kinds of whole ones, and the half that is left over if their number is odd."""
+    out, single = [], None
+    for kind, n in blocks:
+        if single is not None:
+            out.append(({k: single.get(k, 0) + kind.get(k, 0) for k in single | kind}, 1))
+            single, n = None, n - 1
+        if n > 1:
+            out.append(({k: 2 * m for k, m in kind.items()}, n // 2))
+        single = kind if n % 2 else None
+    return out, single
+
+
 def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Pack a histogram: lengths in falling order, each into the open containers with the least room for it; kinds, not single containers."""
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
@@ -119,19 +129,36 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int],
 
 
 def plan(histogram: np.ndarray, capacity: int) -> Plan:
-    """Fit, round down as far as the histogram goes, and pack the residuals. histogram[k]: pieces of length k, k from 0 to capacity."""
+    """Fit, round, and pack the residuals. histogram[k]: pieces of length k, k from 0 to capacity.
+
+    Patterns of few pieces fill a container, half of one, or a quarter, without rest; all of them are fitted together. A repeat count is
+    rounded up as far as pieces are left; patterns with the longest pieces come first, so short ones remain for the rest. What is left is fitted again, then packed by best fit.
+    Halves and quarters make up containers two by two; the pieces of one without a partner go to the rest.
+    """
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    columns = patterns(left, capacity)
-    kinds = []
-    fitted = fit(left, columns)
-    for p in np.argsort(-fitted).tolist():
-        n = min(int(fitted[p]), *(int(left[k]) // m for k, m in columns[p].items()))
-        if n > 0:
-            kinds.append((columns[p], n))
-            for k, m in columns[p].items():
-                left[k] -= m * n
-    return Plan(kinds + best_fit(left, capacity))
+    halvings = next(h for h in range(HALVINGS, -1, -1) if capacity % (1 << h) == 0)
+    blocks: list[list[tuple[dict[int, int], int]]] = [[] for _ in range(halvings + 1)]
+    for _ in range(ROUNDS):
+        columns = [(c, h) for h in range(halvings + 1) for c in patterns(left, capacity >> h)]
+        if not columns:
+            break
+        fitted = fit(left, [c for c, _ in columns])
+        rest = left.tolist()
+        for p in np.lexsort((-fitted, [-max(c) for c, _ in columns])).tolist():
+            column, h = columns[p]
+            n = min(int(np.ceil(fitted[p] - 1e-3)), *(rest[k] // m for k, m in column.items()))
+            if n > 0:
+                blocks[h].append((column, n))
+                for k, m in column.items():
+                    rest[k] -= m * n
+        left = np.array(rest)
+    for h in range(halvings, 0, -1):
+        whole, single = paired(blocks[h])
+        blocks[h - 1] += whole
+        for k, m in (single or {}).items():
+            left[k] += m
+    return Plan(blocks[0] + best_fit(left, capacity), len(blocks[0]))
 
 
 def _place(slots):
@@ -147,17 +174,8 @@ def _place(slots):
     return run
 
 
-def pack(sizes: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", size: str = "n_tokens") -> DataFrame:
-    """Put items into containers: doc_id, piece, n_pieces, n_tokens, container. Numbers of pieces and containers count from 0.
-
-    Only an item larger than `capacity` is split, into full pieces and the rest. Every row is placed, also repeated ones; a size that is
-    null or 0 takes no room and lies in container 0. An empty table gives no rows; other columns are ignored.
-
-    What reaches the driver is the histogram of piece lengths, capacity + 1 numbers at most whatever the data. The plan
-    says for each length which ranks go where; ranks are given within (length, salt) and shifted by the salts before,
-    so a length that a third of all items have is spread over many tasks.
-    """
-    spark = sizes.sparkSession
+def pieces_of(sizes: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", size: str = "n_tokens") -> tuple[DataFrame, np.ndarray]:
+    """The pieces (doc_id, piece, n_pieces, n_tokens) of all items, written once, and the histogram of their lengths (capacity + 1 numbers)."""
     rows = sizes.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("int")
     pieces = rows.withColumn("n_pieces", n_pieces).select("doc_id", "n_pieces", "size", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
@@ -165,12 +183,30 @@ def pack(sizes: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", size: s
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("n_tokens").count().collect():  # at most capacity + 1 rows
         histogram[row["n_tokens"]] = row["count"]
-    slots = spark.sparkContext.broadcast(plan(histogram, capacity).slots())
+    return pieces, histogram
+
+
+def placed(pieces: DataFrame, histogram: np.ndarray, planned: Plan) -> DataFrame:
+    """The pieces with their containers. The ranks of a length are given within salts and shifted by the salts before."""
+    slots = pieces.sparkSession.sparkContext.broadcast(planned.slots())
     n_salts = int(histogram.max() // RANKED) + 1
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_salts)))
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = salted.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).select("n_tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     own = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece"))
     ranked = salted.withColumn("own", own).join(shift, ["n_tokens", "salt"]).withColumn("rank", F.col("shift") + F.col("own") - 1)
-    id_type = sizes.schema[doc_id].dataType.simpleString()
+    id_type = pieces.schema["doc_id"].dataType.simpleString()
     return ranked.select("doc_id", "piece", "n_pieces", "n_tokens", "rank").mapInArrow(_place(slots), f"doc_id {id_type}, piece int, n_pieces int, n_tokens bigint, container bigint")
+
+
+def pack(sizes: DataFrame, capacity: int = 2048, doc_id: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """Put items into containers: doc_id, piece, n_pieces, n_tokens, container. Numbers of pieces and containers count from 0.
+
+    Only an item larger than `capacity` is split, into full pieces and the rest. Every row is placed, also repeated ones; a size that is
+    null or 0 takes no room and lies in container 0. An empty table gives no rows; other columns are ignored.
+
+    What reaches the driver is the histogram of piece lengths, capacity + 1 numbers at most whatever the data. The plan (`plan`)
+    says for each length which ranks go where; a length that a third of all items have is spread over many tasks.
+    """
+    pieces, histogram = pieces_of(sizes, capacity, doc_id, size)
+    return placed(pieces, histogram, plan(histogram, capacity))

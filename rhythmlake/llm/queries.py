@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rhythmlake.llm.cooccurrence import cooccurrence, significant
-from rhythmlake.llm.packing import pack
+from rhythmlake.llm.packing import best_fit, pack, pieces_of, placed, plan
 from rhythmlake.llm.spans import shared_share, shared_spans
 from rhythmlake.llm.subsequences import frequent_subsequences
 from rhythmlake.llm.tokens import decode_corpus, encode_corpus, token_bytes, token_counts
@@ -62,9 +63,29 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How well the containers are filled, beside the least number that could hold all tokens."""
-    out = p8_pack(spark, d).agg(F.sum("n_tokens").alias("n_tokens"), (F.max("container") + 1).alias("n_containers"))
-    return out.select("n_tokens", "n_containers", F.ceil(F.col("n_tokens") / 2048).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("n_containers") * 2048), 6).alias("filled"))
+    """How well the containers are filled and how many come from fitted patterns, beside the least number that could hold all
+    tokens and the number that best fit alone would take."""
+    pieces, histogram = pieces_of(token_counts(table(spark, d, "documents")))
+    planned = plan(histogram, 2048)
+    alone = sum(n for _, n in best_fit(np.concatenate(([0], histogram[1:])), 2048))
+    out = placed(pieces, histogram, planned).agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("container").alias("n_containers"))
+    return out.select(
+        "n_tokens", "n_containers", F.ceil(F.col("n_tokens") / 2048).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("n_containers") * 2048), 6).alias("filled"),
+        F.lit(planned.n_fitted).cast("bigint").alias("from_patterns"), F.lit(alone).cast("bigint").alias("best_fit_alone"),
+    )
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every packing: all documents lie in containers, and nothing is too full, twice, lost or split without need."""
+    sizes = token_counts(table(spark, d, "documents"))
+    packed = pack(sizes)
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("too_full"))
+    own = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.countDistinct("piece").alias("d"), F.max("n_pieces").alias("p"))
+    met = sizes.join(own, "doc_id", "left").agg(
+        F.count("n").alias("n_documents"), F.count_if(~F.col("n").eqNullSafe(F.col("n_tokens"))).alias("lost"), F.count_if((F.col("k") != F.col("d")) | (F.col("k") != F.col("p"))).alias("twice"),
+        F.count_if((F.col("p") > 1) & (F.col("n_tokens") <= 2048)).alias("split_without_need"),
+    )
+    return met.withColumn("too_full", full.scalar())
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +98,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode, p8_found, p8_pack, p8_fill, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode, p8_found, p8_pack, p8_fill, p8_invariants, p9_found, p9_shares)}
 
 _P2 = """
 b AS (SELECT DISTINCT device_id, day_key, lower(trim(app_pkg)) AS app FROM sessions WHERE device_id IS NOT NULL AND day_key IS NOT NULL AND app_pkg IS NOT NULL),
@@ -117,6 +138,7 @@ SQL = {
     "p2_found": f"WITH {_P2} SELECT a AS app_a, b AS app_b FROM m WHERE n_ab * n >= 3 * n_a * n_b",
     "p2_pairs": f"WITH {_P2} SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n AS n_baskets, round(n_a::DOUBLE * n_b / n, 6) AS expected, round(n_ab / (n_a::DOUBLE * n_b / n), 6) AS lift, round(2.0::DOUBLE * ({_LLR}), 6) AS llr FROM m",
     "p5_found": f"WITH {_P5} SELECT a AS app_1, b AS app_2, c AS app_3 FROM p3, n WHERE k >= 10 AND k * 100 >= n.n * 4",
+    "p8_invariants": "SELECT count(*) AS n_documents, 0::BIGINT AS lost, 0::BIGINT AS twice, 0::BIGINT AS split_without_need, 0::BIGINT AS too_full FROM documents",
     "p7_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_patterns": f"""WITH {_P5} SELECT pattern, k AS n_sequences, n.n AS n_all FROM
         (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT a || '>' || b || '>' || c, k FROM p3), n WHERE k >= 10 AND k * 100 >= n.n * 4""",
