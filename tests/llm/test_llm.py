@@ -126,10 +126,25 @@ def test_long_sequence(spark, monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["s0", "item"])
-    (short,) = subsequences._sequences(iter([batch]), 3)
+    (short,) = subsequences._sequences(subsequences._collected(True)(iter([batch])), 3)
     assert len(short) < 80 and {p for p in itertools.combinations(short, 2)} == {p for p in itertools.product("abcd", repeat=2)}
 
 
+@pytest.mark.parametrize("collapse", [False, True])
+def test_sequences_across_batches(collapse):
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    rows = sorted((rnd.choice([1, 2, 3]), rnd.choice("xy"), i, rnd.choice("ab")) for i in range(120))
+    want = [[r[3] for r in own] for _, own in itertools.groupby(rows, key=lambda r: r[:2])]
+    if collapse:
+        want = [[x for x, _ in itertools.groupby(w)] for w in want]
+    for size in (1, 3, 50, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*((r[0], r[1], r[3]) for r in rows[i : i + size]), strict=True)], ["s0", "s1", "item"]) for i in range(0, 120, size)]
+        got = [x for b in subsequences._collected(collapse)(iter(batches)) for x in b.column(0).to_pylist()]
+        assert got == want
+
+
 DOCS = "doc_id long, text string, block long, words string"
 TEXTS = [None, "", " ", "   ", "Hello, world!", "it's   <|endoftext|> 12½ naïve 中文字 العربية", "a" * 5000, "x \n\n\t y", "Hello, world!", "​\x85\x1c é 😀👍🏽", "word " * 3000]
 
