@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,12 @@ def vocabulary_path(folder: str = FOLDER, name: str = VOCABULARY) -> str:
     return os.path.join(folder, name)
 
 
+def _sent(spark: SparkSession, folder: str, name: str) -> str:
+    """Send a rank file to the executors, once a session; tasks find it by its name."""
+    spark.sparkContext.addFile(vocabulary_path(folder, name))
+    return name
+
+
 def _blocks(limit: int):
     """Documents (doc_id, text) to one row a block: its documents, their words as numbers in order, and its distinct words."""
 
@@ -88,9 +95,9 @@ def _blocks(limit: int):
     return run
 
 
-def _encode_words(path: str):
+def _encode_words(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoding(path)._encode_single_piece
+        one = encoding(SparkFiles.get(name)).encode_ordinary  # a word by itself is split no further
         for batch in batches:
             words = batch.column(0)
             yield pa.RecordBatch.from_arrays([words, pa.array([one(w) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
@@ -137,11 +144,11 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", f
     join back; then the ids come together by block and are put in the order of positions. A word in every document is so
     sent once a block, not once an occurrence, and one that fills a third of the corpus weighs no more than another.
     """
-    path = vocabulary_path(folder, vocabulary)
+    name = _sent(docs.sparkSession, folder, vocabulary)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     blocks = written(rows.mapInArrow(_blocks(block_chars), "block bigint, docs array<bigint>, sizes array<int>, codes array<int>, words array<string>"), "word-blocks")
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    table = words.select("word").distinct().mapInArrow(_encode_words(path), "word string, ids array<int>")
+    table = words.select("word").distinct().mapInArrow(_encode_words(name), "word string, ids array<int>")
     # a very frequent word has one row a block: adaptive execution splits it if that is still much
     known = words.join(table, "word").groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("found"))
     whole = blocks.select("block", "docs", "sizes", "codes").join(known, "block", "left").select("docs", "sizes", "codes", "found")
@@ -167,9 +174,9 @@ def decode_corpus(encoded: DataFrame, table: DataFrame) -> DataFrame:
     return parts.select("doc_id", F.decode(F.unhex(joined), "UTF-8").alias("text"))
 
 
-def _sizes(path: str):
+def _sizes(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
@@ -179,4 +186,4 @@ def _sizes(path: str):
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens of each document's whole text; 0 for an empty and for a null text. No shuffle."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_sizes(vocabulary_path(folder, vocabulary)), "doc_id bigint, n_tokens bigint")
+    return rows.mapInArrow(_sizes(_sent(docs.sparkSession, folder, vocabulary)), "doc_id bigint, n_tokens bigint")
