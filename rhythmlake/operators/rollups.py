@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rhythmlake.functions import times
+from rhythmlake.operators.slices import numbered, previous, slice_of
 from rhythmlake.sources.tables import app_name, micros
 
 SECOND, HOUR = 1_000_000, 3_600_000_000
@@ -22,16 +23,19 @@ class RollupConfig:
 
 
 def event_log(raw: DataFrame) -> DataFrame:
-    """Events with device and time, each once: device_id, us, event_id, type, app_pkg, entity_id, payload, source.
+    """Events with device and time, each once: device_id, slice, us, event_id, type, app_pkg, entity_id, source.
 
-    Rows equal in all but event_id are one event (the least id). Order within a device is always (us, event_id).
+    An event may be recorded again with its payload written otherwise, so rows equal in device, time, type, app, entity and source are one
+    event (the least id). Only calendar entries of one time differ by what their payload says (title and end).
+    Order within a device is always (us, event_id). The log is partitioned once, by device and day; what needs a device's order works on that.
     """
-    rows = raw.filter("device_id IS NOT NULL AND ts IS NOT NULL").select("device_id", micros("ts").alias("us"), "type", app_name("app_pkg").alias("app_pkg"), "entity_id", "payload", "source", "event_id")
-    return rows.groupBy("device_id", "us", "type", "app_pkg", "entity_id", "payload", "source").agg(F.min("event_id").alias("event_id"))
+    said = F.when(F.col("type") == "CALENDAR_EVENT", F.concat_ws(" ", F.get_json_object("payload", "$.end"), F.get_json_object("payload", "$.title")))
+    rows = raw.filter("device_id IS NOT NULL AND ts IS NOT NULL").select("device_id", micros("ts").alias("us"), "type", app_name("app_pkg").alias("app_pkg"), "entity_id", said.alias("said"), "source", "event_id")
+    keys = ("device_id", "slice", "us", "type", "app_pkg", "entity_id", "source", "said")
+    return rows.withColumn("slice", slice_of("us")).repartition("device_id", "slice").groupBy(*keys).agg(F.min("event_id").alias("event_id")).drop("said")
 
 
-def _ordered():
-    return Window.partitionBy("device_id").orderBy("us", "event_id")
+_ORDER = ("us", "event_id")
 
 
 def pickups(log: DataFrame) -> DataFrame:
@@ -40,9 +44,8 @@ def pickups(log: DataFrame) -> DataFrame:
     Further unlocks in between are ignored; a pickup that never closes, or of no length, is dropped.
     """
     closes = F.col("type").isin("SCREEN_OFF", "DEVICE_SHUTDOWN")
-    ev = log.filter(F.col("type").isin("UNLOCK", "SCREEN_OFF", "DEVICE_SHUTDOWN")).withColumn("closes", closes)
-    seg = F.coalesce(F.sum(F.col("closes").cast("int")).over(_ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    both = ev.withColumn("seg", seg).groupBy("device_id", "seg").agg(F.min(F.when(~F.col("closes"), F.col("us"))).alias("start_us"), F.max(F.when(F.col("closes"), F.col("us"))).alias("end_us"))
+    ev = log.filter(F.col("type").isin("UNLOCK", "SCREEN_OFF", "DEVICE_SHUTDOWN"))
+    both = numbered(ev, closes, _ORDER, "seg", upto_before=True).groupBy("device_id", "seg").agg(F.min(F.when(~closes, F.col("us"))).alias("start_us"), F.max(F.when(closes, F.col("us"))).alias("end_us"))
     return both.filter("end_us > start_us").select("device_id", "start_us", "end_us")
 
 
@@ -51,27 +54,39 @@ def app_sessions(log: DataFrame, cfg: RollupConfig = RollupConfig()) -> DataFram
 
     A session begins with APP_FOREGROUND and ends with the next one, with APP_BACKGROUND of the same app, when the screen
     closes, or else with the device's last event; it is cut at six hours and dropped under a second. A foreground event without app begins none.
+
+    Events are numbered by the foreground events so far; of each number only the least times by kind and app are sent on, and each
+    foreground event goes to the number before as well, as its end.
     """
-    w = _ordered()
-    ev = log.withColumn("fg", F.col("type") == "APP_FOREGROUND").withColumn("seg", F.sum(F.col("fg").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ev = ev.withColumn("last_us", F.max("us").over(Window.partitionBy("device_id")))
-    ev = ev.filter("seg > 0").withColumn("head", F.first(F.when(F.col("fg"), F.struct("app_pkg", "us")), True).over(Window.partitionBy("device_id", "seg").orderBy("us", "event_id")))
-    ends = F.col("type").isin("SCREEN_OFF", "DEVICE_SHUTDOWN") | ((F.col("type") == "APP_BACKGROUND") & (F.col("app_pkg") == F.col("head.app_pkg")))
-    seg = ev.groupBy("device_id", "seg").agg(F.first("head").alias("head"), F.min(F.when(ends, F.col("us"))).alias("closed_us"), F.max("last_us").alias("last_us"))
-    seg = seg.withColumn("next_us", F.lead("head.us").over(Window.partitionBy("device_id").orderBy("seg")))
-    end = F.least("closed_us", "next_us", "last_us", F.col("head.us") + cfg.longest_session_h * HOUR)
+    fg, off, back = F.col("type") == "APP_FOREGROUND", F.col("type").isin("SCREEN_OFF", "DEVICE_SHUTDOWN"), F.col("type") == "APP_BACKGROUND"
+    kind = F.when(fg, "begin").when(off, "off").when(back, "back").otherwise("other")
+    ev = numbered(log, fg, _ORDER, "seg").select("device_id", "seg", "us", kind.alias("kind"), F.when(fg | back, F.col("app_pkg")).alias("app_pkg"))
+    ends = F.array(F.struct("seg", "kind"), F.struct((F.col("seg") - 1).alias("seg"), F.lit("next").alias("kind")))
+    ev = ev.select("device_id", "us", "app_pkg", F.explode(F.when(F.col("kind") == "begin", ends).otherwise(F.array(F.struct("seg", "kind")))).alias("e")).select("device_id", "e.seg", "e.kind", "app_pkg", "us").filter("seg > 0")
+    least = ev.groupBy("device_id", "seg", "kind", "app_pkg").agg(F.min("us").alias("us"), F.max("us").alias("last_us"))
+    of = lambda k: F.when(F.col("kind") == k, F.col("us"))
+    own = F.collect_list(F.when(F.col("kind") == "back", F.struct("app_pkg", "us")))  # one for each app that goes to the back
+    seg = least.groupBy("device_id", "seg").agg(
+        F.max(F.when(F.col("kind") == "begin", F.struct("us", "app_pkg"))).alias("head"), F.min(of("off")).alias("off_us"), F.min(of("next")).alias("next_us"), F.max("last_us").alias("last_us"), own.alias("backs")
+    )
+    closed = F.get(F.filter("backs", lambda x: x["app_pkg"] == F.col("head.app_pkg")), F.lit(0))["us"]
+    # a device's last event lies in its last segment; in all others the next one begins before it
+    end = F.least("off_us", closed, "next_us", "last_us", F.col("head.us") + cfg.longest_session_h * HOUR)
     out = seg.select("device_id", F.col("head.app_pkg").alias("app_pkg"), F.col("head.us").alias("start_us"), end.alias("end_us"))
     out = out.filter(F.col("app_pkg").isNotNull() & (F.col("end_us") - F.col("start_us") >= cfg.least_session_ms * 1000))
     return out.withColumn("duration_s", F.call_function("div", F.col("end_us") - F.col("start_us"), F.lit(SECOND)))
 
 
 def tag_reflex(sessions: DataFrame, ups: DataFrame, cfg: RollupConfig = RollupConfig()) -> DataFrame:
-    """Sessions with pickup_type: REFLEX if they begin within a pickup shorter than 15 s, else NORMAL. An as-of carry, no range join."""
-    marks = ups.select("device_id", F.col("start_us").alias("us"), F.lit(0).alias("side"), F.struct("start_us", "end_us").alias("up"), F.lit(None).cast(sessions.select(F.struct(*sessions.columns).alias("s")).schema["s"].dataType).alias("s"))
-    rows = sessions.select("device_id", F.col("start_us").alias("us"), F.lit(1).alias("side"), F.lit(None).cast("struct<start_us:bigint,end_us:bigint>").alias("up"), F.struct(*sessions.columns).alias("s"))
-    both = marks.unionByName(rows).withColumn("up", F.last("up", True).over(Window.partitionBy("device_id").orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)))
-    reflex = (F.col("us") < F.col("up.end_us")) & (F.col("up.end_us") - F.col("up.start_us") < cfg.reflex_s * SECOND)
-    return both.filter("side = 1").select("s.*", F.when(reflex, "REFLEX").otherwise("NORMAL").alias("pickup_type"))
+    """Sessions with pickup_type: REFLEX if they begin within a pickup shorter than 15 s, else NORMAL.
+
+    A pickup that short touches two stretches of 15 s at most, and pickups don't overlap: an equality join with one match at most.
+    """
+    wide = cfg.reflex_s * SECOND
+    part = lambda c: F.call_function("div", F.col(c) - F.pmod(F.col(c), F.lit(wide)), F.lit(wide))
+    short = ups.filter(F.col("end_us") - F.col("start_us") < wide).select("device_id", F.col("start_us").alias("up_us"), F.col("end_us").alias("down_us"), F.explode(F.sequence(part("start_us"), part("end_us"))).alias("part"))
+    met = sessions.withColumn("part", part("start_us")).alias("s").join(short.alias("u"), (F.col("s.device_id") == F.col("u.device_id")) & (F.col("s.part") == F.col("u.part")) & (F.col("start_us") >= F.col("up_us")) & (F.col("start_us") < F.col("down_us")), "left")
+    return met.select(*[F.col(f"s.{c}") for c in sessions.columns], F.when(F.col("up_us").isNotNull(), "REFLEX").otherwise("NORMAL").alias("pickup_type"))
 
 
 def hourly_usage(sessions: DataFrame) -> DataFrame:
@@ -116,10 +131,10 @@ def contact_days(log: DataFrame) -> DataFrame:
 
 def visits(fixes: DataFrame, cfg: RollupConfig = RollupConfig()) -> DataFrame:
     """Visits from fixes (device_id, us, place_id): a new one when the place changes or more than 30 minutes pass."""
-    w = Window.partitionBy("device_id").orderBy("us", "place_id")
-    new = (F.col("place_id") != F.lag("place_id").over(w)) | (F.col("us") - F.lag("us").over(w) > cfg.visit_gap_min * 60 * SECOND)
-    run = fixes.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    return run.groupBy("device_id", "run", "place_id").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us")).drop("run")
+    order = ("us", "place_id")
+    rows = previous(fixes.select("device_id", *order, slice_of("us").alias("slice")).repartition("device_id", "slice"), F.struct("us", "place_id"), order, "before")
+    new = F.col("before").isNull() | (F.col("place_id") != F.col("before.place_id")) | (F.col("us") - F.col("before.us") > cfg.visit_gap_min * 60 * SECOND)
+    return numbered(rows, new, order, "run").groupBy("device_id", "run", "place_id").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us")).drop("run")
 
 
 def place_days(visits_: DataFrame) -> DataFrame:

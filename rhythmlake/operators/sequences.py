@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rhythmlake.functions import times
+from rhythmlake.operators.slices import greatest_before, numbered, slice_of
 
 BURST_GAP_S = 60
 
@@ -16,9 +17,10 @@ def bursts(sessions: DataFrame, gap_s: int = BURST_GAP_S) -> DataFrame:
 
     Neighbours with the same app are one step. sessions: device_id, app_pkg, start_us, end_us.
     """
-    w = Window.partitionBy("device_id").orderBy("start_us", "end_us", "app_pkg")
-    before = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    run = sessions.withColumn("new", F.when(F.col("start_us") - before <= gap_s * 1_000_000, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ("start_us", "end_us", "app_pkg")
+    rows = greatest_before(sessions.select("device_id", *order, slice_of("start_us").alias("slice")).repartition("device_id", "slice"), "end_us", order, "before")
+    new = F.col("before").isNull() | (F.col("start_us") - F.col("before") > gap_s * 1_000_000)
+    run = numbered(rows, new, order, "run")
     inner = Window.partitionBy("device_id", "run").orderBy("start_us", "end_us", "app_pkg")
     steps = run.withColumn("step", F.when(F.lag("app_pkg").over(inner).eqNullSafe(F.col("app_pkg")), F.lit(None)).otherwise(F.struct("start_us", F.col("end_us"), "app_pkg")))
     out = steps.groupBy("device_id", "run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.array_sort(F.collect_list("step")).alias("steps"))

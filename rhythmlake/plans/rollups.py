@@ -58,8 +58,9 @@ def r7_contact_days(spark, d):
 
 QUERIES = {f.__name__: f for f in (r1_pickups, r2_sessions, r4_hourly, r5_daily, r6_day_summary, r7_contact_days)}
 
-EV = """ev AS (SELECT device_id, epoch_us(ts) AS us, type, lower(trim(app_pkg)) AS app, entity_id, payload, source, min(event_id) AS event_id FROM raw_events
-  WHERE device_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)"""
+# an event recorded again is one event, however its payload is written; calendar entries of one time differ by title and end
+EV = """ev AS (SELECT device_id, epoch_us(ts) AS us, type, lower(trim(app_pkg)) AS app, entity_id, source, CASE WHEN type = 'CALENDAR_EVENT' AND json_valid(payload) THEN [json_extract_string(payload, '$.end'), json_extract_string(payload, '$.title')] END AS said,
+  min(event_id) AS event_id FROM raw_events WHERE device_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)"""
 UPS = """pk AS (SELECT *, type <> 'UNLOCK' AS closes FROM ev WHERE type IN ('UNLOCK', 'SCREEN_OFF', 'DEVICE_SHUTDOWN')),
 pks AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY device_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM pk),
 ups AS (SELECT device_id, min(us) FILTER (NOT closes) AS s, max(us) FILTER (closes) AS e FROM pks GROUP BY device_id, seg HAVING max(us) FILTER (closes) > min(us) FILTER (NOT closes))"""

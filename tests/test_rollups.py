@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from rhythmlake.operators import comms, detectors, graph, places, rollups, sequences, series
+from rhythmlake.operators import comms, detectors, graph, places, rollups, sequences, series, slices
 from rhythmlake.plans import analysis, feed
 
 DAY = datetime(2026, 7, 10, tzinfo=timezone.utc)
@@ -95,6 +95,65 @@ def test_sessions_random_and_shuffled(spark, seed):
     assert [(r.app_pkg, r.start_us // 10**6 - base, r.end_us // 10**6 - base) for r in got] == slow_sessions(events)
 
 
+@pytest.mark.parametrize("minutes", [7, 1440])
+def test_state_machines_in_slices(spark, monkeypatch, minutes):
+    """The same pickups, sessions, visits and bursts however a device's time is cut; device 1 holds a third of all rows."""
+    monkeypatch.setattr(slices, "SLICE_US", minutes * 60_000_000)
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([1, 1, 2, 3, 4, 5]), DAY + timedelta(seconds=rnd.randrange(200_000)), rnd.choice([FG, FG, BG, OFF, UN, "SCREEN_ON"]), rnd.choice(["a", "b", None]), None, rnd.choice([None, "{}"]), "s") for i in range(1200)]
+    rows += [(5000 + r[0], *r[1:6], "{ }", r[7]) for r in rows[:200]]
+    ev = rollups.event_log(spark.createDataFrame(rows, RAW))
+    base = int(DAY.timestamp())
+    second = lambda us: us // 10**6 - base
+    got, ups = {}, {}
+    for r in rollups.app_sessions(ev).orderBy("start_us").collect():
+        got.setdefault(r.device_id, []).append((r.app_pkg, second(r.start_us), second(r.end_us)))
+    for r in rollups.pickups(ev).collect():
+        ups.setdefault(r.device_id, set()).add((second(r.start_us), second(r.end_us)))
+    for d in range(1, 6):
+        first = {}
+        for r in sorted(rows):
+            if r[1] == d:
+                first.setdefault((r[2], r[3], r[4]), r)
+        own = [(int(r[2].timestamp()) - base, r[3], r[4]) for r in sorted(first.values(), key=lambda r: (r[2], r[0]))]
+        assert got[d] == slow_sessions(own)
+        want, begun = set(), None
+        for t, kind, _ in own:
+            if kind == UN and begun is None:
+                begun = t
+            elif kind == OFF:
+                if begun is not None and t > begun:
+                    want.add((begun, t))
+                begun = None
+        assert ups[d] == want
+    fixes = sorted({(1, rnd.randrange(100_000) * 1_000_000 + base * 10**6): rnd.choice([7, 7, 8]) for _ in range(400)}.items())
+    want, last = [], None
+    for (_, t), place in fixes:
+        if last is None or place != last[1] or t - last[0] > 1_800_000_000:
+            want.append([place, t, t])
+        want[-1][2] = t
+        last = t, place
+    seen = rollups.visits(spark.createDataFrame([(d, t, p) for (d, t), p in fixes], "device_id long, us long, place_id long")).orderBy("start_us").collect()
+    assert [[r.place_id, r.start_us, r.end_us] for r in seen] == want
+    ses = sorted((a * 10**6, (a + rnd.randrange(600)) * 10**6, rnd.choice("xyz")) for a in (rnd.randrange(100_000) for _ in range(300)))
+    want, upto = [], None
+    for a, b, app in ses:
+        if upto is None or a - upto > 60_000_000:
+            want.append([a, b, [app]])
+        elif want[-1][2][-1] != app:
+            want[-1][2].append(app)
+        upto = max(upto or b, b)
+    seen = sequences.bursts(spark.createDataFrame([(1, app, a, b) for a, b, app in ses], "device_id long, app_pkg string, start_us long, end_us long")).orderBy("start_us").collect()
+    assert [[r.start_us, r.apps] for r in seen] == [[a, apps] for a, _, apps in want]
+
+
+def test_recorded_again_is_one_event(spark):
+    rows = [(5, 1, clock("9:00"), UN, None, None, "{}", "USAGE_STATS"), (4, 1, clock("9:00"), UN, None, None, None, "USAGE_STATS"), (6, 1, clock("9:00"), UN, None, None, "{ }", "OTHER")]
+    rows += [(i, 1, clock("9:00"), "LOCATION_FIX", None, None, p, "LOCATION") for i, p in ((10, '{"lat":1,"lon":2}'), (11, '{"lon": "2", "lat": 1}'), (12, "broken"))]
+    rows += [(i, 1, clock("9:00"), "CALENDAR_EVENT", None, None, p, "CALENDAR") for i, p in ((20, '{"title":"a","end":5}'), (21, '{ "end": 5, "title": "a" }'), (22, '{"title":"b","end":5}'), (23, None))]
+    assert sorted(r.event_id for r in rollups.event_log(spark.createDataFrame(rows, RAW)).collect()) == [4, 6, 10, 20, 22, 23]
+
+
 def test_empty_log(spark):
     out = rollups.rollup_pass(spark.createDataFrame([], RAW))
     assert all(df.count() == 0 for df in out.values())
