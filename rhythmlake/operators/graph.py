@@ -36,12 +36,12 @@ def _local_moving(least: int, passes: int):
             for v in sorted(near):
                 old = home[v]
                 total[old] -= degree[v]
-                pull: dict = {old: 0.0}
+                pull: dict = {}
                 for u, w in near[v].items():
                     pull[home[u]] = pull.get(home[u], 0.0) + w
                 gain = {c: w - total[c] * degree[v] / both for c, w in pull.items()}
                 best = min(gain, key=lambda c: (-gain[c], c != old, c))
-                if gain[best] <= gain[old]:
+                if gain[best] <= 0:
                     best = old
                 total[best] += degree[v]
                 moved |= best != old
@@ -63,7 +63,7 @@ def _local_moving(least: int, passes: int):
 
 
 def communities(edges_: DataFrame, least: int = 2, passes: int = 20) -> DataFrame:
-    """device_id, members, weight (of inner edges): local moving by modularity, nodes in order, ties to the present, then the least community.
+    """device_id, members, weight (of inner edges): local moving by modularity: nodes in order, each to the community with the greatest gain above 0 (ties: the present, then the least), else none.
 
     Sequential by nature, so one device's graph at a time; it is bounded by the apps, contacts and places of a device.
     """

@@ -11,22 +11,23 @@ from rhythmlake.functions.numbers import clock_text, duration_text, half_even, w
 from rhythmlake.operators import detectors as D
 
 DAY_MS = 86_400_000
-# The kinds of findings and the heading each has in the feed.
+# The kinds of findings and the heading each has in the feed; any other kind has the last one.
 HEADINGS = {
     "periodic_rhythm": "Rhythm",
-    "habit_shift": "Habit shift",
+    "habit_shift": "Something changed",
     "unusual_day": "Unusual day",
-    "reflex_checks": "Reflex checks",
     "chronotype": "Chronotype",
-    "feedback_loop": "Feedback loop",
+    "reflex_checks": "Quick checks",
+    "feedback_loop": "Connected patterns",
     "routine": "Routine",
-    "baseline_snapshot": "Baseline",
-    "early_top_apps": "Top apps",
-    "early_chronotype": "First unlock",
-    "comms_timing": "Contact timing",
-    "relationship_drift": "Contact drift",
+    "baseline_snapshot": "Your baseline",
+    "early_top_apps": "Top apps so far",
+    "early_chronotype": "Day start",
+    "comms_timing": "Communication timing",
+    "relationship_drift": "Relationship drift",
     "place_rhythm": "Place rhythm",
 }
+OTHER_HEADING = "Pattern"
 _R2 = lambda c: half_even(F.col(c) if isinstance(c, str) else c, 2)
 
 
@@ -40,8 +41,8 @@ def draft(df: DataFrame, kind: str, key: Column, confidence: Column, days: Colum
 
 
 def amount(value: Column, unit: Column) -> Column:
-    """A value of a series in words: seconds as a duration, counts as a whole number."""
-    return F.when(unit == "SECONDS", duration_text(value)).otherwise(whole(value).cast("string"))
+    """A value of a series in words: seconds as a duration, counts as a whole number, both rounded."""
+    return F.when(unit == "SECONDS", duration_text(whole(value))).otherwise(whole(value).cast("string"))
 
 
 def before_today(series: DataFrame, today: Column) -> DataFrame:
@@ -111,12 +112,13 @@ def baseline_snapshot(days: DataFrame, now_ms: int) -> DataFrame:
     return draft(m, "baseline_snapshot", F.lit("baseline"), F.least(F.lit(0.2) + F.col("n") * 0.02, F.lit(0.6)), F.col("n"), now_ms, [F.col("n").alias("days_observed"), _R2("screen_time_s").alias("screen_median_s"), _R2("pickups").alias("pickups_median"), _R2("reflex_checks").alias("reflex_median")], text)
 
 
-def early_top_apps(app_days: DataFrame, n_days: DataFrame, now_ms: int, n: int = 3, least_s: int = 60) -> DataFrame:
-    """app_days: device_id, day, app_pkg, total_seconds; n_days: device_id, n (finished days, two at least)."""
-    sums = app_days.groupBy("device_id", "app_pkg").agg(F.sum("total_seconds").alias("s"), F.min("day").alias("first")).join(n_days.filter("n >= 2"), "device_id").withColumn("avg_s", F.col("s") / F.col("n")).filter(F.col("avg_s") >= least_s)
-    best = sums.groupBy("device_id").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("avg_s")).alias("k"), "first", "app_pkg"))), 1, n).alias("t"))
-    apps = F.transform("t", lambda x: F.struct(F.concat(F.lit("app:"), x["app_pkg"]).alias("subject"), half_even(-x["k"], 2).alias("avg_seconds_per_day")))
-    names = F.array_join(F.transform("t", lambda x: F.element_at(F.split(x["app_pkg"], r"\."), -1)), ", ")
+def early_top_apps(history: DataFrame, now_ms: int, n: int = 3, least_s: int = 60) -> DataFrame:
+    """history: the series of finished days (device_id, subject, label, value). Of the apps that have a series those with the most seconds a day; ties by name."""
+    days = history.filter("subject = 'screen_time'").groupBy("device_id").agg(F.count("*").alias("n")).filter("n >= 2")
+    sums = history.filter("subject LIKE 'app:%'").groupBy("device_id", "subject", "label").agg(F.sum("value").alias("s")).join(days, "device_id").withColumn("avg_s", F.col("s") / F.col("n")).filter(F.col("avg_s") >= least_s)
+    best = sums.groupBy("device_id").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("avg_s")).alias("k"), "subject", "label"))), 1, n).alias("t"))
+    apps = F.transform("t", lambda x: F.struct(x["subject"].alias("subject"), half_even(-x["k"], 2).alias("avg_seconds_per_day")))
+    names = F.array_join(F.transform("t", lambda x: x["label"]), ", ")
     return draft(best, "early_top_apps", F.lit("early_top_apps"), F.least(F.lit(0.2) + F.col("n") * 0.02, F.lit(0.6)), F.col("n"), now_ms, [F.col("n").alias("days_observed"), apps.alias("apps")], F.concat(F.lit("So far you spend most time in "), names, F.lit(".")))
 
 
@@ -150,9 +152,9 @@ def all_drafts(drafts: list[DataFrame]) -> DataFrame:
 
 
 def heading(kind: Column) -> Column:
-    """The heading of a kind; others show the kind itself with blanks."""
+    """The heading of a kind."""
     pairs = [F.lit(x) for kv in HEADINGS.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.lit(OTHER_HEADING))
 
 
 def payload_lines(payload: Column) -> Column:

@@ -65,8 +65,13 @@ def d3_deviation(spark, d):
     return rounded(D.deviation(history, current), "robust_z", "median")
 
 
+def unlocks_of(summary: DataFrame) -> DataFrame:
+    """The minute of the first unlock of each day."""
+    return summary.filter("first_unlock_us IS NOT NULL").select("device_id", "date", "day_type", times.minute_of_day(F.timestamp_micros("first_unlock_us")).alias("minute"))
+
+
 def unlocks(spark: SparkSession, d: str) -> DataFrame:
-    return P.summary(spark, d).filter("first_unlock_us IS NOT NULL").select("device_id", "date", "day_type", times.minute_of_day(F.timestamp_micros("first_unlock_us")).alias("minute"))
+    return unlocks_of(P.summary(spark, d))
 
 
 def d4_chronotype(spark, d):
@@ -129,20 +134,21 @@ UD = f"""ud AS (SELECT device_id, {_DAY} AS day, lower(trim(app_pkg)) AS app_pkg
   WHERE device_id IS NOT NULL AND app_pkg IS NOT NULL AND {_DAY} IS NOT NULL GROUP BY ALL),
 dt AS (SELECT device_id, day, sum(secs)::BIGINT AS secs, sum(opens)::BIGINT AS opens, count(*) AS apps FROM ud GROUP BY ALL),
 ta AS (SELECT device_id, app_pkg, sum(secs)::BIGINT AS total_seconds, row_number() OVER (PARTITION BY device_id ORDER BY sum(secs) DESC, min(day), app_pkg)::INT AS place FROM ud GROUP BY device_id, app_pkg)"""
-BS = f"""{UD},
+BS = f"""{UD}, {P.EV}, {P.UPS}, {P.SES}, {P.DAYSUM},
 sp AS (SELECT device_id, min(day) AS a, max(day) AS b FROM dt GROUP BY ALL),
 gr AS (SELECT ta.device_id, app_pkg, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM ta JOIN sp USING (device_id) WHERE place <= 5),
 bs AS (SELECT device_id, 'screen_time' AS subject, 'screen time' AS label, 'SECONDS' AS unit, day, secs::DOUBLE AS v FROM dt
   UNION ALL SELECT device_id, 'pickups', 'pickups', 'COUNT', day, opens::DOUBLE FROM dt
-  UNION ALL SELECT gr.device_id, 'app:' || gr.app_pkg, split_part(gr.app_pkg, '.', -1), 'SECONDS', gr.day, coalesce(secs, 0)::DOUBLE FROM gr LEFT JOIN ud ON gr.device_id = ud.device_id AND gr.app_pkg = ud.app_pkg AND gr.day = ud.day)"""
-_D1 = f"""{BS},
+  UNION ALL SELECT gr.device_id, 'app:' || gr.app_pkg, split_part(gr.app_pkg, '.', -1), 'SECONDS', gr.day, coalesce(secs, 0)::DOUBLE FROM gr LEFT JOIN ud ON gr.device_id = ud.device_id AND gr.app_pkg = ud.app_pkg AND gr.day = ud.day
+  UNION ALL SELECT device_id, 'reflex_checks', 'quick checks', 'COUNT', date::DATE, reflex_checks::DOUBLE FROM days)"""
+D1 = f"""{BS},
 x AS (SELECT device_id, subject, v - avg(v) OVER s AS c, row_number() OVER (PARTITION BY device_id, subject ORDER BY day) AS i, count(*) OVER s AS n FROM bs WINDOW s AS (PARTITION BY device_id, subject)),
 g AS (SELECT device_id, subject, any_value(n) AS n, sum(c * c) AS power, least(35, any_value(n) // 3) AS lags FROM x GROUP BY ALL HAVING any_value(n) >= 21 AND sum(c * c) >= 1e-9),
 ac AS (SELECT a.device_id, a.subject, b.i - a.i AS k, sum(a.c * b.c) AS s FROM x a JOIN x b ON a.device_id = b.device_id AND a.subject = b.subject AND b.i - a.i BETWEEN 1 AND 35 GROUP BY ALL),
 r AS (SELECT ac.device_id, ac.subject, k, s / power AS r, n, lags FROM ac JOIN g ON ac.device_id = g.device_id AND ac.subject = g.subject WHERE k <= lags),
 nb AS (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after FROM r WINDOW w AS (PARTITION BY device_id, subject ORDER BY k)),
 peaks AS (SELECT *, row_number() OVER (PARTITION BY device_id, subject ORDER BY r DESC, k) AS place FROM nb WHERE k >= 2 AND r >= greatest(0.3, 2 / sqrt(n)) AND r > before AND (after IS NULL OR r > after))"""
-_D2 = f"""{BS},
+D2 = f"""{BS},
 w AS (SELECT device_id, subject, row_number() OVER l AS split, count(*) OVER (PARTITION BY device_id, subject) AS n, lead(day) OVER (PARTITION BY device_id, subject ORDER BY day) AS change_day,
   avg(v) OVER l AS before_mean, avg(v) OVER r AS after_mean, var_pop(v) OVER l AS vl, var_pop(v) OVER r AS vr FROM bs
   WINDOW l AS (PARTITION BY device_id, subject ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (PARTITION BY device_id, subject ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
@@ -176,8 +182,8 @@ SQL = {
       al AS (SELECT days.*, ev, ni FROM days LEFT JOIN lt ON days.device_id = lt.device_id AND days.date = lt.date)
       SELECT device_id, 'screen_time' AS series, date AS day, screen_time_s::DOUBLE AS value FROM al UNION ALL SELECT device_id, 'pickups', date, pickups::DOUBLE FROM al UNION ALL SELECT device_id, 'reflex_checks', date, reflex_checks::DOUBLE FROM al
       UNION ALL SELECT device_id, 'first_unlock_min', date, (fu // 60000000 % 1440)::DOUBLE FROM al WHERE fu IS NOT NULL UNION ALL SELECT device_id, 'evening_screen', date, coalesce(ev, 0)::DOUBLE FROM al UNION ALL SELECT device_id, 'night_screen', date, coalesce(ni, 0)::DOUBLE FROM al""",
-    "d1_periodicity": f"WITH {_D1} SELECT device_id, subject, k::INT AS period_days, round(r, 6) AS strength, (n // k)::INT AS cycles, n::INT AS n FROM peaks WHERE place = 1",
-    "d2_change_point": f"""WITH {_D2} SELECT device_id, subject, n, split::INT AS split, strftime(change_day, '%Y-%m-%d') AS change_day, round(before_mean, 6) AS before_mean, round(after_mean, 6) AS after_mean,
+    "d1_periodicity": f"WITH {D1} SELECT device_id, subject, k::INT AS period_days, round(r, 6) AS strength, (n // k)::INT AS cycles, n::INT AS n FROM peaks WHERE place = 1",
+    "d2_change_point": f"""WITH {D2} SELECT device_id, subject, n, split::INT AS split, strftime(change_day, '%Y-%m-%d') AS change_day, round(before_mean, 6) AS before_mean, round(after_mean, 6) AS after_mean,
       round(CASE WHEN sd >= 1e-9 THEN abs(after_mean - before_mean) / sd END, 6) AS effect_size FROM f WHERE CASE WHEN sd >= 1e-9 THEN abs(after_mean - before_mean) / sd >= 1.2 ELSE abs(after_mean - before_mean) >= 1e-9 END""",
     "d3_deviation": f"WITH {_D3} SELECT device_id, subject, value, round(q2, 6) AS median, round(z, 6) AS robust_z, CASE WHEN z > 0 THEN 'HIGH' ELSE 'LOW' END AS direction FROM z WHERE abs(z) >= 2",
     "d4_chronotype": f"""WITH {UNL}, m AS (SELECT device_id, median(minute) FILTER (NOT we) AS weekday_median, median(minute) FILTER (we) AS weekend_median FROM un GROUP BY ALL HAVING count(*) FILTER (NOT we) >= 4 AND count(*) FILTER (we) >= 2)
@@ -190,14 +196,14 @@ SQL = {
       SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last AND abs(r) >= 0.3
       QUALIFY row_number() OVER (PARTITION BY device_id, driver, outcome ORDER BY round(abs(r), 9) DESC, lag) = 1""",
 }
-_D8H = f"""sr AS (SELECT device_id, series, day::DATE AS day, value AS v FROM ({SQL["t3_cross_series"]})),
+D8H = f"""sr AS (SELECT device_id, series, day::DATE AS day, value AS v FROM ({SQL["t3_cross_series"]})),
 pr AS (SELECT driver, outcome, unnest(range(lo, hi + 1))::INT AS lag FROM (VALUES {", ".join(str(p) for p in D.HYPOTHESES)}) t(driver, outcome, lo, hi)),
 {_D8[_D8.index("j AS (SELECT x.device_id") :]}"""
-_BH = """k AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY p, driver, outcome, lag) AS k, count(*) OVER (PARTITION BY device_id) AS m FROM ts),
+BH = """k AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY p, driver, outcome, lag) AS k, count(*) OVER (PARTITION BY device_id) AS m FROM ts),
 l AS (SELECT *, max(CASE WHEN p <= 0.1::DOUBLE * k / m THEN k END) OVER (PARTITION BY device_id) AS last FROM k)"""
 SQL |= {
-    "d8_hypotheses": f"WITH {_D8H} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM ts",
-    "d9_hypotheses": f"WITH {_D8H}, {_BH} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last",
-    "d10_hypotheses": f"""WITH {_D8H}, {_BH} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last AND abs(r) >= 0.3
+    "d8_hypotheses": f"WITH {D8H} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM ts",
+    "d9_hypotheses": f"WITH {D8H}, {BH} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last",
+    "d10_hypotheses": f"""WITH {D8H}, {BH} SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last AND abs(r) >= 0.3
       QUALIFY row_number() OVER (PARTITION BY device_id, driver, outcome ORDER BY round(abs(r), 9) DESC, lag) = 1""",
 }

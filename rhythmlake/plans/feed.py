@@ -12,63 +12,19 @@ from rhythmlake.operators import detectors as D
 from rhythmlake.operators import insights as I
 from rhythmlake.operators import rollups as R
 from rhythmlake.operators import screens as U
-from rhythmlake.operators import sequences as Q
 from rhythmlake.plans import analysis as A
+from rhythmlake.plans import findings as K
 from rhythmlake.plans import patterns as B
 from rhythmlake.plans import rollups as P
+from rhythmlake.plans.findings import NOW_MS
 from rhythmlake.plans.rollups import shown
 from rhythmlake.sources import events as E
 from rhythmlake.sources import guard, sinks
 from rhythmlake.sources.tables import table
 
-#: The instant the analysis runs at (2015-02-14 00:00 UTC, the day after the tables' last full one).
-NOW_MS = 1_423_872_000_000
-
-
-def history(spark: SparkSession, d: str) -> DataFrame:
-    return I.before_today(A.behaviour(spark, d), F.lit("2015-02-13").cast("date"))
-
-
-def feedback(spark: SparkSession, d: str) -> DataFrame:
-    """Findings on the default hypotheses, without today."""
-    past = I.before_today(A.cross(spark, d), F.lit("2015-02-13").cast("date"))
-    return I.feedback_loop(D.lagged_correlation(past, A.hypotheses(spark)), NOW_MS)
-
-
-def drafts(spark: SparkSession, d: str) -> DataFrame:
-    """All thirteen kinds of findings."""
-    series, past = A.behaviour(spark, d), history(spark, d)
-    points = series.filter(F.col("day") == F.lit("2015-02-13").cast("date"))
-    same_kind = past.filter(T.day_type(F.col("day")) == T.day_type(F.lit("2015-02-13").cast("date")))
-    summary, mornings = P.summary(spark, d), A.unlocks(spark, d)
-    done = A.days(spark, d).filter(F.col("day") < F.lit("2015-02-13").cast("date"))
-    n_days = done.groupBy("device_id").agg(F.countDistinct("day").alias("n"))
-    chrono = I.chronotype(mornings, NOW_MS)
-    places = table(spark, d, "entities").filter("kind = 'PLACE'").select("device_id", F.col("entity_id").alias("place_id"), "place_label")
-    return I.all_drafts([
-        I.periodic_rhythm(past, NOW_MS), I.habit_shift(past, NOW_MS), I.unusual_day(same_kind, points, NOW_MS),
-        I.reflex_checks(summary.select("device_id", F.col("reflex_checks").cast("double").alias("value")), NOW_MS, least=1.0), chrono,
-        feedback(spark, d), I.routine(Q.routines(Q.frequent_sequences(B.sequences(spark, d), share=0.1)), NOW_MS),
-        I.baseline_snapshot(summary, NOW_MS), I.early_top_apps(done, n_days, NOW_MS), I.early_chronotype(mornings, chrono, NOW_MS),
-        I.comms_timing(B.C.timing(B.contacts(spark, d)), NOW_MS), I.relationship_drift(B.C.drift(B.contacts(spark, d)), NOW_MS), I.place_rhythm(B.L.weekend_places(B.place_day_rows(spark, d), places, 2, 0.4), NOW_MS),
-    ])
-
-
-def i_insights(spark, d):
-    return drafts(spark, d).drop("entity_ids")
-
-
-def i_periodic(spark, d):
-    return A.rounded(I.periodic_rhythm(history(spark, d), NOW_MS).select("device_id", "type", "dedupe_key", "confidence", "window_start_ms", "window_end_ms"), "confidence")
-
-
-def i_baseline(spark, d):
-    return I.baseline_snapshot(P.summary(spark, d), NOW_MS).select("device_id", "dedupe_key", F.round("confidence", 6).alias("confidence"), "text")
-
-
 def i_feed(spark, d):
     """The drafts upserted into an empty snapshot, then shown."""
-    own = I.baseline_snapshot(P.summary(spark, d), NOW_MS).unionByName(I.periodic_rhythm(history(spark, d), NOW_MS)).withColumn("order", F.lit(1))
+    own = K.all_drafts(spark, d).withColumn("order", F.lit(1))
     snapshot = sinks.upsert_insights(spark.createDataFrame([], sinks.EMPTY_INSIGHTS), own, NOW_MS)
     return U.feed(snapshot).select("device_id", "dedupe_key", I.heading(F.col("type")).alias("heading"), "pinned", "created_ms")
 
@@ -219,7 +175,7 @@ def s12_modes_upserted(spark, d):
 
 def l4_numbers_kept(spark, d):
     """Whether a retelling of each baseline keeps its numbers; this one drops those of the pickups."""
-    own = I.baseline_snapshot(P.summary(spark, d), NOW_MS)
+    own = K.baseline(K.Inputs(spark, d))
     return own.select("device_id", I.keeps_numbers(F.col("text"), F.col("text")).alias("same"), I.keeps_numbers(F.col("text"), F.regexp_replace("text", r" and \d+ pickups", "")).alias("cut"))
 
 
@@ -229,7 +185,7 @@ def u6_days_observed(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    d9_false_discovery, d11_hypotheses, s2_usage_mapping, s3_notifications, s12_modes_upserted, l4_numbers_kept, u6_days_observed, i_insights, i_periodic, i_baseline, i_feed, u1_today_tile, u2_week_bars, u3_heatmap, u4_top_of_day, u5_event_log, q_count_and_first, q_day_top, q_entities_by_kind, s1_incremental, s4_debounce, s5_contact_names,
+    d9_false_discovery, d11_hypotheses, s2_usage_mapping, s3_notifications, s12_modes_upserted, l4_numbers_kept, u6_days_observed, i_feed, u1_today_tile, u2_week_bars, u3_heatmap, u4_top_of_day, u5_event_log, q_count_and_first, q_day_top, q_entities_by_kind, s1_incremental, s4_debounce, s5_contact_names,
     s5_resolved_contacts, s7_calendar, s13_erase, s14_app_labels, s16_histograms, adapter_sessions, adapter_sessions_by_user, f_times, f_numbers, f_haversine, l_guarded_sql)}
 
 _DS = f"{P.EV}, {P.UPS}, {P.SES}, {P.DAYSUM}"
@@ -237,24 +193,19 @@ _DSX = "device_id, date, screen_time_s, pickups, reflex_checks, sessions, fu //
 _DUR = "CASE WHEN {0}::BIGINT >= 3600 THEN ({0}::BIGINT // 3600)::VARCHAR || 'h ' || lpad(({0}::BIGINT % 3600 // 60)::VARCHAR, 2, '0') || 'm' WHEN {0}::BIGINT >= 60 THEN ({0}::BIGINT // 60)::VARCHAR || 'm' ELSE ({0}::BIGINT)::VARCHAR || 's' END"
 _ADAPT = """ev AS (SELECT {device}::BIGINT AS device_id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'UNLOCK' WHEN 'click' THEN 'APP_FOREGROUND' WHEN 'view' THEN 'APP_FOREGROUND' WHEN 'purchase' THEN 'APP_BACKGROUND' ELSE 'SCREEN_OFF' END AS type,
   CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'app.' || (json_extract_string(props, '$.k')::INT % 10)::VARCHAR END AS app, min(event_id) AS event_id FROM events GROUP BY ALL)"""
-_BASE = f"""bm AS (SELECT device_id, count(*) AS n, list_sort(list(screen_time_s))[count(*) // 2 + 1] AS st, list_sort(list(pickups))[count(*) // 2 + 1] AS pk FROM days GROUP BY ALL)"""
 _NAME = r"""nullif(trim(regexp_replace(trim(split_part(lower(trim(display_name)), ':', 1)), '\s*\(\d+\)$', '')), '')"""
-_HIST = A._D1.replace("FROM bs WINDOW", "FROM bs WHERE day < DATE '2015-02-13' WINDOW")
 _CODES = {1: "APP_FOREGROUND", 2: "APP_BACKGROUND", 15: "SCREEN_ON", 16: "SCREEN_OFF", 17: "KEYGUARD_SHOWN", 18: "UNLOCK", 26: "DEVICE_SHUTDOWN", 27: "DEVICE_STARTUP"}
 SQL = {
     "d9_false_discovery": f"""WITH {A._D8}, k AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY p, driver, outcome, lag) AS k, count(*) OVER (PARTITION BY device_id) AS m FROM ts),
       l AS (SELECT *, max(CASE WHEN p <= 0.1::DOUBLE * k / m THEN k END) OVER (PARTITION BY device_id) AS last FROM k) SELECT device_id, driver, outcome, lag, n, round(r, 6) AS r, round(p, 6) AS p FROM l WHERE k <= last""",
     "d11_hypotheses": f"SELECT driver, outcome, lo::INT AS lag_lo, hi::INT AS lag_hi FROM (VALUES {', '.join(str(h) for h in D.HYPOTHESES)}) t(driver, outcome, lo, hi)",
     "s2_usage_mapping": "SELECT event_id, type, CASE WHEN code <= 2 THEN 'app.x' END AS app_pkg FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS code FROM events) e JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in _CODES.items()) + ") m(c, type) ON c = code",
-    "s3_notifications": f"""WITH n AS (SELECT r.device_id, r.app_pkg, r.entity_id, epoch_us(ts) // 1000 AS ms, event_id AS arrival, {_NAME} AS contact FROM raw_events r JOIN entities t ON t.kind = 'CONTACT' AND t.entity_id = r.entity_id
+    "s3_notifications": f"""WITH n AS (SELECT r.device_id, r.app_pkg, r.entity_id, epoch_us(ts) // 1000 AS ms, event_id AS arrival, {_NAME} AS contact FROM raw_events r LEFT JOIN entities t ON t.kind = 'CONTACT' AND t.entity_id = r.entity_id
       WHERE type = 'NOTIFICATION' AND r.device_id IS NOT NULL AND ts IS NOT NULL AND r.app_pkg IS DISTINCT FROM 'app.brackle.chat')
-      SELECT device_id, app_pkg, arrival, contact FROM n QUALIFY coalesce(ms - lag(ms) OVER (PARTITION BY device_id, app_pkg, entity_id ORDER BY arrival) > 10000, true)""",
+      SELECT device_id, app_pkg, arrival, contact FROM n QUALIFY coalesce(ms - lag(ms) OVER (PARTITION BY device_id, app_pkg, coalesce(entity_id::VARCHAR, '') ORDER BY arrival) > 10000, true)""",
     "u6_days_observed": f"WITH {P.EV} SELECT device_id, floor(({NOW_MS} - min(us) / 1000) / 86400000)::BIGINT AS days FROM ev GROUP BY device_id",
-    "i_periodic": f"WITH {_HIST} SELECT device_id, 'periodic_rhythm' AS type, 'periodic:' || subject AS dedupe_key, round(least(greatest(r, 0), 1), 6) AS confidence, {NOW_MS} - n * 86400000 AS window_start_ms, {NOW_MS}::BIGINT AS window_end_ms FROM peaks WHERE place = 1",
-    "i_baseline": f"""WITH {_DS}, {_BASE} SELECT device_id, 'baseline' AS dedupe_key, round(least(0.2 + n * 0.02, 0.6)::DOUBLE, 6) AS confidence,
-      CASE WHEN n = 1 THEN 'Your first full day: ' || {_DUR.format('st')} || ' of screen time and ' || pk || ' pickups.' ELSE 'Over ' || n || ' days a typical one has ' || {_DUR.format('st')} || ' of screen time and ' || pk || ' pickups.' END AS text FROM bm""",
-    "i_feed": f"""WITH {_DS}, {_BASE}, {_HIST} SELECT device_id, 'baseline' AS dedupe_key, 'Baseline' AS heading, false AS pinned, {NOW_MS}::BIGINT AS created_ms FROM bm
-      UNION ALL SELECT device_id, 'periodic:' || subject, 'Rhythm', false, {NOW_MS} FROM peaks WHERE place = 1""",
+    "i_feed": f"""SELECT device_id, dedupe_key, CASE type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in I.HEADINGS.items())} ELSE '{I.OTHER_HEADING}' END AS heading, false AS pinned, {NOW_MS}::BIGINT AS created_ms FROM ({K.SQL["i_insights"]})""",
+    "l4_numbers_kept": f"""SELECT device_id, true AS same, len([t for t in regexp_extract_all(text, '\\d+(?::\\d+)?') if NOT contains(regexp_replace(text, ' and \\d+ pickups', ''), t)]) = 0 AS cut FROM ({K.SQL["i_baseline"]})""",
     "u1_today_tile": f"WITH {_DS} SELECT {_DSX} FROM days QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY date DESC) = 1",
     "u2_week_bars": f"""WITH {_DS}, w AS (SELECT device_id, date, screen_time_s FROM days QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY date DESC) <= 7)
       SELECT *, round(CASE WHEN max(screen_time_s) OVER (PARTITION BY device_id) > 0 THEN screen_time_s / max(screen_time_s) OVER (PARTITION BY device_id) ELSE 0 END, 6) AS height FROM w""",

@@ -17,6 +17,9 @@ from rhythmlake.plans.dealt import _DAY, _HAV, _fixes, _places
 from rhythmlake.plans.rollups import shown
 from rhythmlake.sources.tables import app_name, micros, table
 
+#: The behavioural day the analysis runs on; it is not finished, so most findings leave it out.
+TODAY = "2015-02-13"
+
 
 def clean_sessions(spark: SparkSession, d: str) -> DataFrame:
     """device_id, app_pkg, start_us, end_us of the `sessions` table; repeats once, unusable rows left out."""
@@ -37,11 +40,11 @@ def q2_day_sequences(spark, d):
 
 
 def q4_frequent_sequences(spark, d):
-    return Q.frequent_sequences(sequences(spark, d), share=0.2).withColumn("pattern", F.array_join("pattern", ">"))
+    return Q.frequent_sequences(sequences(spark, d)).withColumn("pattern", F.array_join("pattern", ">"))
 
 
 def q5_routines(spark, d):
-    return Q.routines(Q.frequent_sequences(sequences(spark, d), share=0.2)).withColumn("pattern", F.array_join("pattern", ">"))
+    return Q.routines(Q.frequent_sequences(sequences(spark, d))).withColumn("pattern", F.array_join("pattern", ">"))
 
 
 def contacts(spark: SparkSession, d: str) -> DataFrame:
@@ -50,16 +53,21 @@ def contacts(spark: SparkSession, d: str) -> DataFrame:
     return C.contact_rows(table(spark, d, "comms_daily")).join(known, ["device_id", "contact_id"], "left_semi")
 
 
+def contacts_before(spark: SparkSession, d: str) -> DataFrame:
+    """The contact rows of finished days."""
+    return contacts(spark, d).filter(F.col("day") < F.lit(TODAY).cast("date"))
+
+
 def c2_timing(spark, d):
-    return A.rounded(C.timing(contacts(spark, d)), "band_share")
+    return A.rounded(C.timing(contacts_before(spark, d)), "band_share")
 
 
 def c4_weekly_counts(spark, d):
-    return C.weekly_counts(contacts(spark, d))
+    return C.weekly_counts(contacts_before(spark, d))
 
 
 def c5_drift(spark, d):
-    return A.rounded(C.drift(contacts(spark, d)), "before_mean", "after_mean", "effect_size")
+    return A.rounded(C.drift(contacts_before(spark, d)), "before_mean", "after_mean", "effect_size")
 
 
 def fixes_at_places(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +116,7 @@ def p_place_labels(spark, d):
 
 def p_weekend_places(spark, d):
     places = table(spark, d, "entities").filter("kind = 'PLACE'").select("device_id", F.col("entity_id").alias("place_id"), "place_label")
-    return A.rounded(L.weekend_places(place_day_rows(spark, d), places, least_days=2, share=0.4), "weekend_share")
+    return A.rounded(L.weekend_places(place_day_rows(spark, d).filter(F.col("date") < F.lit(TODAY).cast("date")), places), "weekend_share")
 
 
 def activities(spark: SparkSession, d: str) -> DataFrame:
@@ -171,19 +179,34 @@ bu AS (SELECT device_id, run, min(s) AS s, max(e) AS e, string_agg(app, '>' ORDE
 _Q2 = f"""{_Q1},
 d0 AS (SELECT *, strftime(make_timestamp(s - 14400000000), '%Y-%m-%d') AS day, s // 3600000000 % 24 AS h FROM bu),
 ds AS (SELECT device_id, 'morning' AS daypart, day, min_by(apps, s) AS apps FROM d0 WHERE h BETWEEN 4 AND 11 GROUP BY ALL UNION ALL SELECT device_id, 'evening', day, max_by(apps, s) FROM d0 WHERE h >= 18 OR h < 4 GROUP BY ALL)"""
+Q4 = f"""{_Q2},
+st AS (SELECT device_id, daypart, day, unnest(string_split(apps, '>')) AS app, generate_subscripts(string_split(apps, '>'), 1) AS i FROM ds),
+nd AS (SELECT device_id, daypart, count(*) AS n FROM ds GROUP BY ALL),
+l1 AS (SELECT device_id, daypart, day, app AS pattern, min(i) AS i FROM st GROUP BY ALL)"""
+for _k in range(1, 7):
+    Q4 += f""",
+f{_k} AS (SELECT device_id, daypart, pattern, count(*) AS support, any_value(n) AS n_days FROM l{_k} JOIN nd USING (device_id, daypart) GROUP BY ALL HAVING count(*) >= greatest(4, (any_value(n) * 400 + 999) // 1000))"""
+    if _k < 6:
+        Q4 += f""",
+l{_k + 1} AS (SELECT x.device_id, x.daypart, x.day, x.pattern || '>' || y.app AS pattern, min(y.i) AS i FROM l{_k} x JOIN f{_k} f ON f.device_id = x.device_id AND f.daypart = x.daypart AND f.pattern = x.pattern
+  JOIN st y ON y.device_id = x.device_id AND y.daypart = x.daypart AND y.day = x.day AND y.i > x.i GROUP BY ALL)"""
+Q4 += f""",
+fp4 AS ({" UNION ALL ".join(f"SELECT device_id, daypart, pattern, {k} AS steps, support, n_days FROM f{k}" for k in range(1, 7))}),
+ro AS (SELECT * FROM fp4 WHERE steps >= 2 AND n_days >= 6 QUALIFY row_number() OVER (PARTITION BY device_id, daypart ORDER BY steps DESC, support DESC, pattern) = 1)"""
 _C = f"""cr AS (SELECT c.device_id, c.contact_id, {_DAY} AS day, lower(trim(app_pkg)) AS app, coalesce(max(msg_notif_count), 0)::BIGINT AS n, max(by_hour_histogram) AS h FROM comms_daily c
   WHERE EXISTS (SELECT 1 FROM entities t WHERE t.kind = 'CONTACT' AND t.entity_id = c.contact_id AND t.device_id = c.device_id) AND {_DAY} IS NOT NULL GROUP BY ALL),
 ch AS (SELECT *, TRY_CAST(CASE WHEN json_valid(h) THEN h END AS INTEGER[]) AS hist FROM cr)"""
-_C2 = f"""{_C},
+_CB = _C.replace("IS NOT NULL GROUP BY ALL)", f"< DATE '{TODAY}' GROUP BY ALL)")
+C2 = f"""{_CB},
 ct AS (SELECT device_id, contact_id, sum(n)::BIGINT AS total_messages, count(*) AS rows_active, count(DISTINCT day) AS days_active, {", ".join(f"sum(coalesce(hist[{h + 1}], 0)) AS h{h}" for h in range(24))} FROM ch GROUP BY ALL HAVING count(*) >= 8 AND sum(n) >= 25),
 cb AS (SELECT ct.*, s, n FROM ct, LATERAL (VALUES {", ".join(f"({s}, {' + '.join(f'h{(s + o) % 24}' for o in range(4))})" for s in range(24))}) v(s, n)),
 cq AS (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY device_id, contact_id ORDER BY n DESC, s) = 1)"""
-_C4 = f"""{_C},
+_C4 = f"""{_CB},
 cd AS (SELECT device_id, contact_id, day, sum(n) AS n FROM cr GROUP BY ALL),
 cw AS (SELECT device_id, contact_id, min(day) AS first, (max(day) - min(day) + 1) // 7 AS weeks FROM cd GROUP BY ALL HAVING (max(day) - min(day) + 1) // 7 > 0),
 cg AS (SELECT device_id, contact_id, first, unnest(range(weeks))::INT AS week FROM cw),
 wk AS (SELECT cg.device_id, cg.contact_id, cg.week, coalesce(sum(n), 0)::DOUBLE AS value FROM cg LEFT JOIN cd ON cd.device_id = cg.device_id AND cd.contact_id = cg.contact_id AND (cd.day - first) // 7 = week GROUP BY ALL)"""
-_C5 = f"""{_C4},
+C5 = f"""{_C4},
 v AS (SELECT device_id, contact_id, row_number() OVER l AS split, count(*) OVER (PARTITION BY device_id, contact_id) AS n, avg(value) OVER l AS bm, avg(value) OVER r AS am, var_pop(value) OVER l AS vl, var_pop(value) OVER r AS vr FROM wk
   WINDOW l AS (PARTITION BY device_id, contact_id ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (PARTITION BY device_id, contact_id ORDER BY week ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, vl * split + vr * (n - split) AS sse FROM v WHERE split >= 3 AND n - split >= 3),
@@ -211,9 +234,11 @@ acts AS (SELECT DISTINCT cs.device_id, r.entity_id AS entity, strftime(make_time
 SQL = {
     "q1_bursts": f"WITH {_Q1} SELECT device_id, s // 1000 AS start_ms, e // 1000 AS end_ms, apps FROM bu",
     "q2_day_sequences": f"WITH {_Q2} SELECT device_id, daypart, day, apps FROM ds",
-    "c2_timing": f"WITH {_C2} SELECT device_id, contact_id, total_messages, s AS band_start_hour, round(n / total_messages, 6) AS band_share, days_active, rows_active FROM cq WHERE n / total_messages >= 0.5",
+    "q4_frequent_sequences": f"WITH {Q4} SELECT device_id, daypart, pattern, support, n_days FROM fp4",
+    "q5_routines": f"WITH {Q4} SELECT device_id, daypart, pattern, support, n_days FROM ro",
+    "c2_timing": f"WITH {C2} SELECT device_id, contact_id, total_messages, s AS band_start_hour, round(n / total_messages, 6) AS band_share, days_active, rows_active FROM cq WHERE n / total_messages >= 0.5",
     "c4_weekly_counts": f"WITH {_C4} SELECT * FROM wk",
-    "c5_drift": f"""WITH {_C5} SELECT device_id, contact_id, n, split::INT AS split, round(bm, 6) AS before_mean, round(am, 6) AS after_mean, round(CASE WHEN sd >= 1e-9 THEN abs(am - bm) / sd END, 6) AS effect_size, CASE WHEN am < bm THEN 'less' ELSE 'more' END AS direction
+    "c5_drift": f"""WITH {C5} SELECT device_id, contact_id, n, split::INT AS split, round(bm, 6) AS before_mean, round(am, 6) AS after_mean, round(CASE WHEN sd >= 1e-9 THEN abs(am - bm) / sd END, 6) AS effect_size, CASE WHEN am < bm THEN 'less' ELSE 'more' END AS direction
       FROM b WHERE n >= 8 AND CASE WHEN sd >= 1e-9 THEN abs(am - bm) / sd >= 1 ELSE abs(am - bm) >= 1e-9 END AND NOT (bm < 1 AND am < 1) AND floor(bm + 0.5) <> floor(am + 0.5)""",
     "r8_visits": f"WITH {_R8} SELECT device_id, place_id, s // 1000 AS start_ms, e // 1000 AS end_ms FROM vi",
     "r8_place_days": f"WITH {_R8} SELECT device_id, date, place_id, a // 1000 AS arrival_ms, b // 1000 AS depart_ms, dwell_s FROM pd",
@@ -223,7 +248,7 @@ SQL = {
       avg((isodow(make_timestamp(us)) <= 5 AND us // 3600000000 % 24 BETWEEN 9 AND 17)::INT::DOUBLE) AS ws FROM fp GROUP BY ALL)
       SELECT device_id, place_id, n, round(ns, 6) AS night_share, round(ws, 6) AS work_share, CASE WHEN ns >= 0.4 THEN 'HOME' WHEN ws >= 0.5 THEN 'WORK' ELSE 'OTHER' END AS label FROM sh""",
     "place_weekend_places": f"""WITH {_R8} SELECT pd.device_id, pd.place_id, count(*) AS visits, round(avg((isodow(date::DATE) >= 6)::INT::DOUBLE), 6) AS weekend_share FROM pd
-      JOIN entities t ON t.kind = 'PLACE' AND t.entity_id = pd.place_id AND t.device_id = pd.device_id AND coalesce(place_label, 'OTHER') NOT IN ('HOME', 'WORK') WHERE dwell_s > 0 GROUP BY ALL HAVING count(*) >= 2 AND avg((isodow(date::DATE) >= 6)::INT::DOUBLE) >= 0.4""",
+      JOIN entities t ON t.kind = 'PLACE' AND t.entity_id = pd.place_id AND t.device_id = pd.device_id AND coalesce(place_label, 'OTHER') NOT IN ('HOME', 'WORK') WHERE dwell_s > 0 AND date < '{TODAY}' GROUP BY ALL HAVING count(*) >= 6 AND avg((isodow(date::DATE) >= 6)::INT::DOUBLE) >= 0.7""",
     "g1_activities": f"WITH {_G1} SELECT device_id, entity, day, daypart FROM acts",
     "g2_edges": f"""WITH {_G1}, sz AS (SELECT device_id, day, daypart FROM acts GROUP BY ALL HAVING count(*) BETWEEN 2 AND 12)
       SELECT x.device_id, x.entity AS a, y.entity AS b, count(*)::DOUBLE AS weight FROM acts x JOIN acts y ON x.device_id = y.device_id AND x.day = y.day AND x.daypart = y.daypart AND x.entity < y.entity

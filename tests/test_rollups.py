@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rhythmlake.operators import comms, detectors, graph, places, rollups, sequences, series, slices
-from rhythmlake.plans import analysis, feed
+from rhythmlake.operators import insights
+from rhythmlake.plans import analysis, findings
 
 DAY = datetime(2026, 7, 10, tzinfo=timezone.utc)
 RAW = "event_id long, device_id long, ts timestamp, type string, app_pkg string, entity_id long, payload string, source string"
@@ -291,7 +292,7 @@ def test_default_hypotheses_are_tested(spark, tmp_path):
     pair = ("first_unlock_min", "screen_time")
     for query in (analysis.d9_hypotheses, analysis.d10_hypotheses):
         assert [(r.lag, r.r) for r in query(spark, str(tmp_path)).collect() if (r.driver, r.outcome) == pair] == [(0, 1.0)]
-    assert "lagcorr:first_unlock_min>screen_time@0" in {r.dedupe_key for r in feed.feedback(spark, str(tmp_path)).collect()}
+    assert "lagcorr:first_unlock_min>screen_time@0" in {r.dedupe_key for r in findings.feedback(findings.Inputs(spark, str(tmp_path))).collect()}
 
 
 def test_reflex_checks_are_a_series(spark, tmp_path):
@@ -300,3 +301,53 @@ def test_reflex_checks_are_a_series(spark, tmp_path):
     out = analysis.t1_behaviour_series(spark, str(tmp_path)).collect()
     assert {r.subject for r in out} == {"screen_time", "pickups", "reflex_checks", "app:a"}
     assert [(str(r.day), r.value) for r in sorted(out, key=lambda r: str(r.day)) if r.subject == "reflex_checks"] == [(f"2015-01-{5 + i:02}", k % 7 + 1.0) for i, k in enumerate(late)]
+
+
+def test_findings_the_tables_have_no_case_of(spark):
+    """Reflex checks, routines and weekend places at their production gates."""
+    checks = spark.createDataFrame([(1, float(v)) for v in (3, 5, 9, 12)] + [(2, 4.0)] * 9 + [(3, 50.0)] * 3, "device_id long, value double")
+    (r,) = insights.reflex_checks(checks, 10**12).collect()
+    assert (r.device_id, r.payload, r.window_start_ms) == (1, '{"median_per_day":9.0,"days_observed":4}', 10**12 - 4 * 86_400_000) and "9 times" in r.text
+    seqs = [(1, "morning", ["wa", "mail", f"x{i}"]) for i in range(4)] + [(1, "morning", [f"solo{i}"]) for i in range(6)] + [(2, "morning", ["wa", "mail"])] * 5
+    df = spark.createDataFrame(seqs, "device_id long, daypart string, apps array<string>")
+    (r,) = insights.routine(sequences.routines(sequences.frequent_sequences(df)), 0).collect()
+    assert (r.dedupe_key, r.confidence, r.payload) == ("routine:morning:wa>mail", 0.4, '{"daypart":"morning","sequence":["wa","mail"],"days_matched":4,"days_observed":10}')
+    saturdays = [date(2026, 7, 4) + timedelta(days=7 * i) for i in range(5)]
+    days = [(1, p, d, 60) for p in (7, 8, 9) for d in (*saturdays, date(2026, 7, 7))] + [(1, 10, d, 60) for d in saturdays] + [(1, 7, date(2026, 7, 8), 0)]
+    known = spark.createDataFrame([(1, 7, None), (1, 8, "HOME"), (1, 10, "OTHER")], "device_id long, place_id long, place_label string")
+    found = places.weekend_places(spark.createDataFrame(days, "device_id long, place_id long, date date, dwell_s long"), known)
+    (r,) = insights.place_rhythm(found, 0).collect()
+    assert (r.dedupe_key, r.payload, r.entity_ids) == ("place_weekend:7", '{"place_id":7,"visits":6,"weekend_share":0.83}', [7])
+
+
+def moved(edges):
+    """Local moving told once more, node by node: the greatest gain above 0, else stay."""
+    nodes = sorted({x for e in edges for x in e[:2]})
+    w = {}
+    for a, b, x in edges:
+        w[a, b] = w[b, a] = w.get((a, b), 0) + x
+    degree = {v: sum(x for (a, _), x in w.items() if a == v) for v in nodes}
+    both, home = sum(degree.values()), {v: v for v in nodes}
+    for _ in range(20):
+        before = dict(home)
+        for v in nodes:
+            others = {c: sum(degree[u] for u in nodes if u != v and home[u] == c) for c in {home[u] for u in nodes if (v, u) in w}}
+            gain = {c: sum(w.get((v, u), 0) for u in nodes if home[u] == c and u != v) - t * degree[v] / both for c, t in others.items()}
+            good = [c for c in gain if gain[c] > 1e-12]
+            if good:
+                top = max(gain[c] for c in good)
+                tied = [c for c in good if abs(gain[c] - top) < 1e-12]
+                home[v] = home[v] if home[v] in tied else min(tied)
+        if home == before:
+            break
+    return sorted(tuple(v for v in nodes if home[v] == c) for c in set(home.values()) if sum(h == c for h in home.values()) >= 2)
+
+
+def test_communities_random(spark):
+    rnd = random.Random(12)
+    rows = [(g, a, b, float(rnd.randrange(1, 9))) for g in range(60) for a in range(12) for b in range(a + 1, 12) if rnd.random() < 0.3]
+    got = {}
+    for r in graph.communities(spark.createDataFrame(rows, "device_id long, a long, b long, weight double")).collect():
+        got.setdefault(r.device_id, []).append(tuple(r.members))
+    for g in range(60):
+        assert sorted(got.get(g, [])) == moved([r[1:] for r in rows if r[0] == g])

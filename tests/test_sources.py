@@ -83,7 +83,7 @@ def test_insight_texts(spark):
     df = spark.createDataFrame([("7 days at 21:00", "every 7 days, 21:00"), ("7 days at 21:00", "every 7 days"), ("x", None)], "t string, c string")
     assert [r.k for r in df.select(insights.keeps_numbers(F.col("t"), F.col("c")).alias("k")).collect()] == [True, False, False]
     k = spark.createDataFrame([("reflex_checks",), ("some_kind",)], "k string").select(insights.heading(F.col("k")).alias("h"))
-    assert [r.h for r in k.collect()] == ["Reflex checks", "Some Kind"]
+    assert [r.h for r in k.collect()] == ["Quick checks", "Pattern"]
     p = spark.createDataFrame([('{"a":1,"b":null}',)], "p string").select(insights.payload_lines(F.col("p")).alias("l"))
     assert p.head().l == "a: 1\nb: null"
 
