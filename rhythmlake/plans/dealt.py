@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rhythmlake.operators.activity import activity_sessions
 from rhythmlake.operators.intervals import merge_intervals, periods_and_gaps
 from rhythmlake.operators.rolling import merge_repeats, rolling_totals
-from rhythmlake.operators.trips import reachability, read_pings, stops_and_trips, stops_at_places, trips_from_pings, with_distance
+from rhythmlake.operators.trips import reachability, read_pings, ridge_trips, stops_and_trips, stops_at_places, trips_from_pings, valley_stops, with_distance
 from rhythmlake.sources.tables import app_name, day_of, floor_ms, table
 
 
@@ -32,6 +32,17 @@ def p1_trips(spark: SparkSession, d: str) -> DataFrame:
     return with_distance(ms, plot)
 
 
+def p1_valleys(spark: SparkSession, d: str) -> DataFrame:
+    """Stops wherever they are, also away from known places, as the valleys of the plot, and the ridges between them as trips."""
+    stops = valley_stops(reachability(read_pings(_fixes(spark, d))))
+    trips = ridge_trips(stops)
+    six = lambda c, to=None: F.round(F.col(c) + 1e-9, 6).alias(to or c)  # noqa: E731  (means of six decimals: ties upwards)
+    a = stops.select(F.lit("stop").alias("kind"), "device_id", "start_us", "end_us", "n_pings", six("lat"), six("lon"))
+    b = trips.select(F.lit("trip").alias("kind"), "device_id", "start_us", "end_us", F.lit(None).cast("bigint").alias("n_pings"), six("to_lat", "lat"), six("to_lon", "lon"))
+    out = a.unionByName(b)
+    return out.select("kind", "device_id", floor_ms(F.col("start_us")).alias("start_ms"), floor_ms(F.col("end_us")).alias("end_ms"), "n_pings", "lat", "lon")
+
+
 def _usage_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_events").filter("source = 'USAGE_STATS'").withColumn("app_pkg", app_name("app_pkg"))
 
@@ -80,7 +91,7 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", "device_id", "app_pkg", floor_ms(F.col("start_us")).alias("start_ms"), floor_ms(F.col("end_us")).alias("end_ms"), "n_intervals")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_trips, p3_found, p3_sessions, p4_found, p4_rolling, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_trips, p1_valleys, p3_found, p3_sessions, p4_found, p4_rolling, p6_found, p6_periods)}
 
 _HAV = "pow(sin(radians(p_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(p_lat)) * pow(sin(radians(p_lon - lon) / 2), 2)"
 _P1 = f"""
@@ -99,6 +110,22 @@ stops AS (SELECT device_id, place_id, min(us) AS s, max(us) AS e FROM runs GROUP
 follow AS (SELECT *, lead(place_id) OVER w AS np, lead(s) OVER w AS ns FROM stops WINDOW w AS (PARTITION BY device_id ORDER BY s, e, place_id)),
 found AS (SELECT 'stop' AS kind, device_id, place_id AS from_place_id, place_id AS to_place_id, s // 1000 AS start_ms, e // 1000 AS end_ms FROM stops
           UNION ALL SELECT 'trip', device_id, place_id, np, e // 1000, ns // 1000 FROM follow WHERE np <> place_id AND ns - e <= 10800000000)"""
+def _dist(a: str, b: str) -> str:
+    h = f"pow(sin(radians({a}lat - {b}lat) / 2), 2) + cos(radians({b}lat)) * cos(radians({a}lat)) * pow(sin(radians({a}lon - {b}lon) / 2), 2)"
+    return f"2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - ({h})))"
+
+
+_LEGS = f"""
+nb AS (SELECT device_id, us, lat, lon, n, lag(lat) OVER w AS b_lat, lag(lon) OVER w AS b_lon, lag(us) OVER w AS b_us, lag(lat, 2) OVER w AS c_lat, lag(lon, 2) OVER w AS c_lon, lag(us, 2) OVER w AS c_us,
+       lead(lat) OVER w AS a_lat, lead(lon) OVER w AS a_lon, lead(us) OVER w AS a_us FROM seq WINDOW w AS (PARTITION BY device_id ORDER BY us)),
+dd AS (SELECT *, {_dist("b_", "")} AS way, CASE WHEN us - b_us <= 3600000000 THEN {_dist("b_", "")} END AS d1, CASE WHEN us - c_us <= 3600000000 THEN {_dist("c_", "")} END AS d2,
+       CASE WHEN a_us - b_us <= 3600000000 THEN {_dist("b_", "a_")} END AS ar FROM nb),
+lg AS (SELECT device_id, us, CASE WHEN way > 300.01 AND ar <= 300.01 THEN 0 WHEN way > 300.01 AND d2 <= 300.01 THEN d2 ELSE way END AS leg FROM dd WHERE b_us IS NOT NULL)"""
+_VALLEYS = """
+lk AS (SELECT *, coalesce(d1 <= 300.01, false) OR coalesce(d2 <= 300.01, false) OR coalesce(lead(d2) OVER (PARTITION BY device_id ORDER BY us) <= 300.01, false) AS goes_on FROM dd),
+vn AS (SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY device_id ORDER BY us) AS v FROM lk),
+vs AS (SELECT device_id, min(us) AS s, max(us) AS e, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon FROM vn GROUP BY device_id, v HAVING max(us) - min(us) >= 600000000),
+vt AS (SELECT device_id, e AS s, lead(s) OVER w AS e, lead(lat) OVER w AS lat, lead(lon) OVER w AS lon FROM vs WINDOW w AS (PARTITION BY device_id ORDER BY s))"""
 _P3 = """
 e AS (SELECT DISTINCT device_id, epoch_us(ts) AS us, type, lower(trim(app_pkg)) AS app FROM raw_events WHERE source = 'USAGE_STATS' AND device_id IS NOT NULL AND ts IS NOT NULL),
 f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY device_id ORDER BY us) <= 900000000 THEN 0 ELSE 1 END AS cut FROM e),
@@ -125,6 +152,10 @@ nxt AS (SELECT *, lead(s) OVER (PARTITION BY device_id, app_pkg ORDER BY s) AS n
 
 SQL = {
     "p1_found": f"WITH {_P1} SELECT kind, device_id, from_place_id, to_place_id, start_ms, end_ms FROM found",
+    "p1_trips": f"""WITH {_P1}, {_LEGS} SELECT kind, f.device_id, from_place_id, to_place_id, start_ms, end_ms, (end_ms - start_ms) / 1000.0::DOUBLE AS duration_s, round(coalesce(sum(leg), 0), 1) AS distance_m
+        FROM found f LEFT JOIN lg ON lg.device_id = f.device_id AND us // 1000 > start_ms AND us // 1000 <= end_ms GROUP BY ALL""",
+    "p1_valleys": f"""WITH {_P1}, {_LEGS}, {_VALLEYS} SELECT 'stop' AS kind, device_id, s // 1000 AS start_ms, e // 1000 AS end_ms, n AS n_pings, round(lat + 1e-9, 6) AS lat, round(lon + 1e-9, 6) AS lon FROM vs
+        UNION ALL SELECT 'trip', device_id, s // 1000, e // 1000, NULL, round(lat + 1e-9, 6), round(lon + 1e-9, 6) FROM vt WHERE e - s <= 10800000000""",
     "p3_found": f"WITH {_P3} SELECT device_id, start_ms, end_ms, n_events FROM s",
     "p3_sessions": f"WITH {_P3} SELECT device_id, start_ms, end_ms, end_ms - start_ms AS duration_ms, n_events FROM s",
     "p4_found": f"""WITH {_P4} SELECT device_id, series, item, strftime(day, '%Y-%m-%d') AS day FROM tot

@@ -8,7 +8,7 @@ import pytest
 from rhythmlake.operators.activity import activity_sessions
 from rhythmlake.operators.intervals import IntervalMap, merge_intervals
 from rhythmlake.operators.rolling import merge_repeats, rolling_totals
-from rhythmlake.operators.trips import reachability, read_pings, trips_from_pings, with_distance
+from rhythmlake.operators.trips import TripConfig, reachability, read_pings, ridge_trips, trips_from_pings, valley_stops, with_distance
 from rhythmlake.sources.tables import app_name, day_of
 
 T0 = datetime(2015, 1, 5, tzinfo=timezone.utc)
@@ -193,3 +193,36 @@ def test_trips_brute_force(spark, seed):
     found = trips_from_pings(spark.createDataFrame(pings(*rows), PING), spark.createDataFrame(places, "device_id long, place_id long, lat double, lon double"))
     got = {(r.kind, r.device_id, r.from_place_id, r.to_place_id, (r.start_ms - MS0) // 60_000, (r.end_ms - MS0) // 60_000) for r in found.collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trips_do_not_depend_on_slices(spark, seed):
+    """The same stops, distances, valleys and ridges for slices of four hours and of three days; device 1 holds a third of all pings."""
+    rnd = random.Random(seed)
+    rows, spots = [], [(50.0 + 0.01 * i, 8.0) for i in range(4)]
+    for device in (1, 1, 1, 2, 3, 4):
+        minute, spot = rnd.randrange(600), spots[0]
+        for _ in range(130):
+            minute += rnd.choice([3, 5, 8, 20, 45, 59, 61, 100, 200])
+            spot = rnd.choice([spot, spot, spot, rnd.choice(spots), (51 + rnd.random(), 8.0)])
+            rows += pings((device, minute, round(spot[0] + rnd.uniform(-6e-4, 6e-4), 6), spot[1]))
+    df = spark.createDataFrame(rows, PING)
+    places = spark.createDataFrame([(d, 10 + i, *s) for d in (1, 2, 3, 4) for i, s in enumerate(spots)], "device_id long, place_id long, lat double, lon double")
+    seen = []
+    for hours in (4, 72):
+        cfg = TripConfig(bucket_ms=hours * 3_600_000)
+        plot = reachability(read_pings(df), cfg)
+        valleys = valley_stops(plot, cfg)
+        middle = sorted((r.device_id, r.start_us, r.end_us, r.n_pings, round(r.lat, 5)) for r in valleys.collect())
+        ridges = sorted((r.device_id, r.start_us, r.end_us) for r in ridge_trips(valleys, cfg).collect())
+        paths = sorted(tuple(r) for r in with_distance(trips_from_pings(df, places, cfg), plot, cfg).collect())
+        seen.append((middle, ridges, paths))
+    assert seen[0] == seen[1] and all(len(x) > 20 for x in seen[0])
+
+
+def test_core_distance(spark):
+    """Dense are pings with enough neighbours; more are asked for by `least_pings`."""
+    df = spark.createDataFrame(pings(*[(1, m, 50.0 + x / 111_195, 8.0) for m, x in ((0, 0), (5, 10), (10, 30), (200, 30))]), PING)
+    for least, core, reach in ((2, [10, 10, 20, None], [None, 10, 20, None]), (3, [30, 20, 30, None], [None, 30, 20, None])):
+        plot = reachability(read_pings(df), TripConfig(least_pings=least)).filter("side = 0").orderBy("us").collect()
+        assert [r.core_m and round(r.core_m) for r in plot] == core and [r.reach_m and round(r.reach_m) for r in plot] == reach
