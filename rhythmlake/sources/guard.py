@@ -17,6 +17,16 @@ FORBIDDEN = (
     "events", "watermarks", "entities", "llm_audit", "insights", "comms_daily", "place_daily", "modes",
 )
 MOST_ROWS = 50
+#: The functions a statement may call; any other is refused, so none that reaches Java methods, files or the session can be.
+FUNCTIONS = (
+    "count", "sum", "avg", "mean", "min", "max", "median", "percentile", "percentile_approx", "stddev", "stddev_pop", "stddev_samp", "variance", "var_pop", "var_samp", "corr", "count_if", "max_by", "min_by",
+    "abs", "ceil", "ceiling", "floor", "round", "bround", "sign", "sqrt", "power", "pow", "mod", "greatest", "least", "coalesce", "nullif", "ifnull", "nvl", "if", "cast", "try_cast", "try_divide",
+    "lower", "upper", "trim", "ltrim", "rtrim", "length", "substr", "substring", "concat", "concat_ws", "replace", "like", "instr", "lpad", "rpad", "split_part", "startswith", "endswith", "contains",
+    "date", "to_date", "date_add", "date_sub", "datediff", "date_trunc", "date_format", "day", "dayofweek", "dayofmonth", "month", "year", "hour", "minute", "weekday", "weekofyear", "add_months", "last_day",
+    "row_number", "rank", "dense_rank", "percent_rank", "ntile", "lag", "lead", "first_value", "last_value",
+)
+#: Words that may stand before a bracket without being a function.
+_WORDS = ("select", "from", "join", "in", "and", "or", "not", "on", "where", "having", "over", "by", "when", "then", "else", "as", "exists", "between", "filter", "distinct", "all", "any", "group", "using", "is", "union", "except", "intersect", "limit", "case")
 CATALOG = ("screen_time", "pickups", "reflex_checks", "first_unlock_min", "evening_screen", "night_screen")
 
 
@@ -37,6 +47,9 @@ def validate(sql: str) -> str:
     for word in FORBIDDEN:
         if re.search(rf"\b{word}\b", plain):
             raise Rejected(f"not allowed: {word}")
+    for name in re.findall(r"([`\"\w.]+)\s*\(", plain):
+        if name not in FUNCTIONS and name not in _WORDS:
+            raise Rejected(f"not a function to call: {name}")
     names = re.findall(r"\b(?:from|join)\s+([`\"\w.]+)", plain)
     if not names:
         raise Rejected("no table")
@@ -74,10 +87,10 @@ def answer(spark: SparkSession, sql: str, load: Callable[[SparkSession], dict[st
         return json.dumps({"error": str(e).split("\n")[0]})
 
 
-def proposed_pairs(text: str, most: int = 10) -> list[tuple[str, str, int, int]]:
+def proposed_pairs(text: str, tested: tuple[tuple, ...] = (), most: int = 10) -> list[tuple[str, str, int, int]]:
     """Pairs (driver, outcome, least lag, greatest lag) of known series in a JSON list within a text.
 
-    Unknown keys, pairs of a series with itself and repeats are left out; the lag is 1 if missing, at most 3 either way, and a
+    Unknown keys, pairs of a series with itself, repeats and pairs that are `tested` already are left out; the lag is 1 if missing, at most 3 either way, and a
     range from or to 0; ten pairs at most (the feature's limit). Anything unreadable gives none.
     """
     begin, end = text.find("["), text.rfind("]")
@@ -92,11 +105,27 @@ def proposed_pairs(text: str, most: int = 10) -> list[tuple[str, str, int, int]]
         driver, outcome, lag = row.get("driver"), row.get("outcome"), row.get("lag", 1)
         lag = lag if isinstance(lag, int) and not isinstance(lag, bool) else 1
         lag = max(-3, min(3, lag))
-        if driver in CATALOG and outcome in CATALOG and driver != outcome and all(p[:2] != (driver, outcome) for p in out):
+        if driver in CATALOG and outcome in CATALOG and driver != outcome and all(p[:2] != (driver, outcome) for p in (*out, *tested)):
             out.append((driver, outcome, min(lag, 0), max(lag, 0)))
     return out[:most]
 
 
+#: The series that may be paired, as a model is told of them; what stands in brackets is an explanation.
+DESCRIBED = {
+    "screen_time": "total screen time (seconds a day)",
+    "pickups": "pickups (a day)",
+    "reflex_checks": "quick checks (pickups under 15 seconds)",
+    "first_unlock_min": "first pickup (minute of the day)",
+    "evening_screen": "evening screen time (18 to 24 h)",
+    "night_screen": "late-night screen time (0 to 4 h)",
+}
+
+
+def pair_label(series: str) -> str:
+    """The name of a series in a finding: its description up to the bracket; the key itself if it isn't described."""
+    return DESCRIBED.get(series, series).split(" (", 1)[0]
+
+
 def mode_name(text: str) -> tuple[str, str] | None:
     """Name (1 to 40 characters) and description (240 at most) of a JSON object, or None."""
     try:

@@ -79,6 +79,28 @@ def test_proposals_and_names():
     assert guard.mode_name('{"name":""}') is None and guard.mode_name("x") is None
 
 
+@pytest.mark.parametrize("call", ["reflect('java.lang.System','getProperty','user.home')", "java_method('java.lang.System','getenv','PATH')", "`reflect`('java.lang.System','getenv')", "try_reflect('a','b')", "REFLECT ('a', 'b')", "input_file_name()", "current_database()", "system.builtin.reflect('a','b')", "assert_true(false)", "read_files('/etc')", "version()"])
+def test_guard_calls_no_other_function(call):
+    with pytest.raises(guard.Rejected):
+        guard.validate(f"SELECT {call} AS x FROM sessions")
+    with pytest.raises(guard.Rejected):
+        guard.validate(f"SELECT count(*) FROM sessions WHERE app_pkg = {call}")
+
+
+def test_guard_allows_plain_questions():
+    for sql in ("SELECT app_pkg, sum(duration_s) AS s FROM sessions GROUP BY app_pkg HAVING (sum(duration_s) > 5) ORDER BY s DESC LIMIT 5", "SELECT date, round(avg(total_seconds), 1) FROM usage_daily WHERE app_pkg IN ('reflect(', 'b') AND (date >= '2015-01-01') GROUP BY date", "SELECT hour, count(DISTINCT app_pkg) FROM usage_hourly GROUP BY hour", "SELECT row_number() OVER (ORDER BY date) FROM day_summary"):
+        assert guard.validate(sql) == sql
+
+
+def test_pairs_already_tested():
+    text = '[{"driver":"pickups","outcome":"screen_time","lag":2},{"driver":"evening_screen","outcome":"first_unlock_min"}]'
+    from rhythmlake.operators.detectors import HYPOTHESES
+
+    assert guard.proposed_pairs(text) == [("pickups", "screen_time", 0, 2), ("evening_screen", "first_unlock_min", 0, 1)]
+    assert guard.proposed_pairs(text, HYPOTHESES) == [("pickups", "screen_time", 0, 2)]
+    assert guard.pair_label("night_screen") == "late-night screen time" and guard.pair_label("pickups") == "pickups" and guard.pair_label("x") == "x"
+
+
 def test_insight_texts(spark):
     df = spark.createDataFrame([("7 days at 21:00", "every 7 days, 21:00"), ("7 days at 21:00", "every 7 days"), ("x", None)], "t string, c string")
     assert [r.k for r in df.select(insights.keeps_numbers(F.col("t"), F.col("c")).alias("k")).collect()] == [True, False, False]
