@@ -93,7 +93,15 @@ def modes(communities_: DataFrame, signature: DataFrame, members: int = 3, windo
 
 
 def member_summary(modes_: DataFrame, kinds: DataFrame) -> DataFrame:
-    """device_id, mode_key, apps, places, contacts: how many members of each kind (kinds: device_id, entity, kind)."""
+    """device_id, mode_key, apps, places, contacts (how many members of each kind) and summary, a text without names of contacts or places.
+
+    kinds: device_id, entity, kind, name, place_label. The summary lists apps by name, then places as `home`, `work` or `a place`, each in the
+    order of their ids, then counts contacts; other members say nothing.
+    """
     own = modes_.select("device_id", "mode_key", F.explode("members").alias("entity")).join(kinds, ["device_id", "entity"], "left")
-    n = lambda k: F.sum((F.col("kind") == k).cast("int"))
-    return own.groupBy("device_id", "mode_key").agg(*[F.coalesce(n(k), F.lit(0)).alias(a) for k, a in (("APP", "apps"), ("PLACE", "places"), ("CONTACT", "contacts"))])
+    n = lambda k: F.coalesce(F.sum((F.col("kind") == k).cast("int")), F.lit(0))
+    said = F.when(F.col("kind") == "APP", F.col("name")).when(F.col("kind") == "PLACE", F.when(F.col("place_label") == "HOME", "home").when(F.col("place_label") == "WORK", "work").otherwise("a place"))
+    listed = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("entity", said.alias("said"))))), lambda x: x["said"]), ", ")
+    sums = own.groupBy("device_id", "mode_key").agg(n("APP").alias("apps"), n("PLACE").alias("places"), n("CONTACT").alias("contacts"), listed("APP").alias("a"), listed("PLACE").alias("p"))
+    c = F.when(F.col("contacts") == 1, "a contact").when(F.col("contacts") > 1, F.concat(F.col("contacts").cast("string"), F.lit(" contacts"))).otherwise("")
+    return sums.withColumn("summary", F.array_join(F.filter(F.array("a", "p", c), lambda x: x != ""), "; ")).drop("a", "p")

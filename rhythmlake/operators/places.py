@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rhythmlake.functions.geo import haversine_m
 from rhythmlake.functions.times import day_type
+from rhythmlake.operators.slices import ranked
 from rhythmlake.session import written
 
 _DEGREE_M = 111_000.0
 
 
+def _column(lon: Column, row: Column, wide: float) -> Column:
+    """The column of a longitude among the cells of a row, `wide` degrees of latitude on a side where the row is widest."""
+    nearest = F.when(row >= 0, row).when(row < -1, -row - 1).otherwise(0) * wide
+    return F.floor(lon * F.greatest(F.cos(F.radians(nearest)), F.lit(0.01)) / wide)
+
+
 def _near(a: DataFrame, b: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of points (device_id, id, lat, lon) of one device at most radius_m apart: device_id, a, b, by bands of latitude, then distance."""
+    """Pairs of points (device_id, id, lat, lon) of one device at most radius_m apart: device_id, a, b, by cells of that size, then distance."""
     wide = radius_m / _DEGREE_M * 1.01
-    band = F.floor(F.col("lat") / wide)
-    left = a.select("device_id", F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    right = b.select("device_id", F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), band.alias("band"))
-    return left.join(right, ["device_id", "band"]).filter(haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= radius_m).select("device_id", "a", "b")
+    row = F.floor(F.col("lat") / wide)
+    right = b.select("device_id", F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), row.alias("row")).withColumn("column", _column(F.col("b_lon"), F.col("row"), wide))
+    left = a.select("device_id", F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.explode(F.array(row - 1, row, row + 1)).alias("row"))
+    reach = wide / F.greatest(F.cos(F.radians(F.least(F.abs("a_lat") + wide, F.lit(90.0)))), F.lit(0.001))
+    around = lambda lon: F.sequence(_column(lon - reach, F.col("row"), wide), _column(lon + reach, F.col("row"), wide))
+    beyond = F.when(F.col("a_lon") + reach > 180, around(F.col("a_lon") - 360)).when(F.col("a_lon") - reach < -180, around(F.col("a_lon") + 360)).otherwise(F.array().cast("array<bigint>"))
+    left = left.withColumn("column", F.explode(F.array_union(around(F.col("a_lon")), beyond)))
+    return left.join(right, ["device_id", "row", "column"]).filter(haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= radius_m).select("device_id", "a", "b")
 
 
 def spots(fixes: DataFrame) -> DataFrame:
@@ -44,17 +55,17 @@ def core_spots(points: DataFrame, eps_m: float = 75.0, least: int = 12) -> DataF
     return laid.filter("dense").drop("dense").unionByName(thin.join(n.select("device_id", "id"), ["device_id", "id"], "left_semi"))
 
 
-def dbscan(points: DataFrame, eps_m: float = 75.0, least: int = 12, rounds: int = 200) -> DataFrame:
+def dbscan(points: DataFrame, eps_m: float = 75.0, least: int = 12) -> DataFrame:
     """Density clusters of each device's spots: device_id, id, cluster (the least id of its core spots). Noise is left out.
 
     Core spots within eps_m of each other are connected; the least label is passed on, with jumps to the label's own label, until
-    nothing changes. A spot on the border joins the cluster with the least label near it. Each round is written to the shared folder.
+    nothing changes (labels only fall, so that comes about). A spot on the border joins the cluster with the least label near it. Each round is written to the shared folder.
     """
     points = written(points, "spots")
     core = core_spots(points, eps_m, least)
     links = written(_near(core, core, eps_m), "links")
     labels = written(core.select("device_id", "id", F.col("id").alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = links.join(labels.select("device_id", F.col("id").alias("b"), "label"), ["device_id", "b"]).groupBy("device_id", F.col("a").alias("id")).agg(F.min("label").alias("new"))
         jumped = near.join(labels.select("device_id", F.col("id").alias("new"), F.col("label").alias("far")), ["device_id", "new"])
         new = written(labels.join(jumped, ["device_id", "id"]).select("device_id", "id", F.least("label", "new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("changed")), "labels")
@@ -86,12 +97,34 @@ def nearest_place(points: DataFrame, places: DataFrame, radius_m: float = 120.0)
 def resolve_places(centres: DataFrame, places: DataFrame, radius_m: float = 120.0) -> DataFrame:
     """device_id, cluster, place_id, lat, lon, is_new: the known place a cluster belongs to, else a new id after the greatest one known.
 
-    New ids are numbered over (device_id, cluster); the rows are clusters, a few a device.
+    New ids follow (device_id, cluster).
     """
     known = nearest_place(centres.withColumn("id", F.col("cluster")), places, radius_m)
     top = places.agg(F.coalesce(F.max("place_id"), F.lit(0)).alias("top"))
-    fresh = F.row_number().over(Window.partitionBy(F.col("place_id").isNull()).orderBy("device_id", "cluster"))
-    return known.withColumn("k", fresh).withColumn("top", top.scalar()).select("device_id", "cluster", F.coalesce("place_id", F.col("top") + F.col("k")).alias("place_id"), "lat", "lon", F.col("place_id").isNull().alias("is_new"))
+    fresh = ranked(known.filter("place_id IS NULL"), ("device_id", "cluster"), "k").withColumn("top", top.scalar()).withColumn("place_id", F.col("top") + F.col("k"))
+    columns = lambda df, new: df.select("device_id", "cluster", "place_id", "lat", "lon", F.lit(new).alias("is_new"))
+    return columns(known.filter("place_id IS NOT NULL"), False).unionByName(columns(fresh, True))
+
+
+def name_places(resolved: DataFrame, fixes: DataFrame, places: DataFrame) -> DataFrame:
+    """The places with what they are called: device_id, place_id, display_name, place_label, lat, lon.
+
+    resolved: what `resolve_places` gives; fixes: device_id, cluster, us; places: device_id, place_id, display_name, place_label. A known place
+    keeps its name and label and only has its centre moved to its cluster's (of several clusters the one with the most fixes). A new one is
+    named by its fixes: Home, Work, or `Place N`, numbered on from the device's other places.
+    """
+    n = fixes.groupBy("device_id", "cluster").agg(F.count("*").alias("n"))
+    best = resolved.join(n, ["device_id", "cluster"]).groupBy("device_id", "place_id").agg(F.max_by(F.struct("lat", "lon", "cluster", "is_new"), F.struct("n", -F.col("cluster"))).alias("b")).select("device_id", "place_id", "b.*")
+    kept = best.filter("NOT is_new").join(places.select("device_id", "place_id", "display_name", "place_label"), ["device_id", "place_id"])
+    labels = place_labels(fixes.withColumnRenamed("cluster", "place_id")).select("device_id", F.col("place_id").alias("cluster"), F.col("label").alias("place_label"))
+    fresh = best.filter("is_new").join(labels, ["device_id", "cluster"])
+    others = places.filter("place_label = 'OTHER'").groupBy("device_id").agg(F.count("*").alias("known"))
+    # the new places of a device are its clusters, a few
+    nth = F.sum((F.col("place_label") == "OTHER").cast("int")).over(Window.partitionBy("device_id").orderBy("cluster"))
+    fresh = fresh.join(others, "device_id", "left").withColumn("nth", F.coalesce("known", F.lit(0)) + nth)
+    name = F.when(F.col("place_label") == "HOME", "Home").when(F.col("place_label") == "WORK", "Work").otherwise(F.concat(F.lit("Place "), F.col("nth").cast("string")))
+    columns = ("device_id", "place_id", "display_name", "place_label", "lat", "lon")
+    return kept.select(*columns).unionByName(fresh.withColumn("display_name", name).select(*columns))
 
 
 def place_labels(fixes: DataFrame) -> DataFrame:

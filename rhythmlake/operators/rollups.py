@@ -143,9 +143,13 @@ def place_days(visits_: DataFrame) -> DataFrame:
     return rows.groupBy("device_id", "date", "place_id").agg(F.min("start_us").alias("arrival_us"), F.max("end_us").alias("depart_us"), F.call_function("div", F.sum(F.col("end_us") - F.col("start_us")), F.lit(SECOND)).alias("dwell_s"))
 
 
-def rollup_pass(raw: DataFrame) -> dict[str, DataFrame]:
-    """All rollups of a log, to be written over the ones before (`sinks.replace_all`); the same for any order of the rows."""
+def rollup_pass(raw: DataFrame, fixes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All rollups of a log, to be written over the ones before (`sinks.replace_all`); the same for any order of the rows.
+
+    fixes: device_id, us, place_id of fixes at places; if given, the days at places are among the rollups.
+    """
     log = event_log(raw)
     ups = pickups(log)
     own = tag_reflex(app_sessions(log), ups)
-    return {"sessions": own, "usage_hourly": hourly_usage(own), "usage_daily": daily_usage(own), "day_summary": day_summary(own, ups), "comms_daily": contact_days(log)}
+    out = {"sessions": own, "usage_hourly": hourly_usage(own), "usage_daily": daily_usage(own), "day_summary": day_summary(own, ups), "comms_daily": contact_days(log)}
+    return out if fixes is None else out | {"place_daily": place_days(visits(fixes))}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rhythmlake.session import written
+
 #: Length of a slice in microseconds.
 SLICE_US = 86_400_000_000
 
@@ -54,3 +56,15 @@ def greatest_before(rows: DataFrame, column: str, order: tuple[str, ...], out: s
     before = _carried(rows, order[0], carried=(F.max(column), "max"))
     own = rows.withColumn(out, F.max(column).over(_within(*order).rowsBetween(Window.unboundedPreceding, -1)))
     return own.join(before, ["device_id", "slice"]).withColumn(out, F.greatest(out, "carried")).drop("carried")
+
+
+def ranked(rows: DataFrame, order: tuple[str, ...], out: str) -> DataFrame:
+    """rows numbered from 1 in the order of some columns (which tell rows apart), without all of them in one task.
+
+    Rows are range-partitioned and written, ranked within their partition, and shifted by the sizes of the partitions before (one row each).
+    """
+    parted = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
+    sizes = parted.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parted.withColumn(out, own).join(before, "part").withColumn(out, (F.col(out) + F.col("before")).cast("bigint")).drop("part", "before")

@@ -158,9 +158,9 @@ def g5_modes(spark, d):
 def g6_mode_members(spark, d):
     acts = activities(spark, d)
     found = G.communities(G.edges(acts))
-    kinds = table(spark, d, "entities").select("device_id", F.col("entity_id").alias("entity"), "kind")
-    apps = table(spark, d, "app_refs").select(F.col("entity_id").alias("entity"))
-    known = kinds.unionByName(acts.join(apps, "entity", "left_semi").select("device_id", "entity", F.lit("APP").alias("kind"))).distinct()
+    kinds = table(spark, d, "entities").select("device_id", F.col("entity_id").alias("entity"), "kind", F.col("display_name").alias("name"), "place_label")
+    apps = table(spark, d, "app_refs").select(F.col("entity_id").alias("entity"), F.col("display_name").alias("name"))
+    known = kinds.unionByName(acts.select("device_id", "entity").distinct().join(apps, "entity").select("device_id", "entity", F.lit("APP").alias("kind"), "name", F.lit(None).cast("string").alias("place_label"))).distinct()
     return G.member_summary(G.modes(found, G.time_signature(found, acts)), known)
 
 

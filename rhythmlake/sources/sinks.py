@@ -2,14 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rhythmlake.operators.slices import ranked
+
 
 def replace_all(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write each table over the one before, also when it is empty."""
+    """Write a group of tables over the one before, also where they are empty; all of them become visible at once.
+
+    Each group is a folder of its own (`group-...`); the file CURRENT names the one that holds, and is replaced last by a rename. So a failure leaves
+    the group before whole, and a table may be computed from the one it replaces. Groups before the last one are deleted.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    fs = path("CURRENT").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    before, group = current_group(spark, folder), f"group-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        df.write.parquet(f"{folder.rstrip('/')}/{group}/{name}.parquet")
+    spark.createDataFrame([(group,)], "name string").coalesce(1).write.text(str(path(f"NEXT-{group}").toString()))
+    if fs.exists(path("CURRENT")):
+        fs.rename(path("CURRENT"), path(f"PAST-{group}"))
+    fs.rename(path(f"NEXT-{group}"), path("CURRENT"))
+    for old in (f"PAST-{group}", before):
+        if old:
+            fs.delete(path(old), True)
+
+
+def current_group(spark: SparkSession, folder: str) -> str | None:
+    """The name of the group that holds; None if there is none yet. A swap that was cut short is finished by the last CURRENT or PAST."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath().getName() for f in fs.listStatus(base)] if fs.exists(base) else []
+    for name in ["CURRENT"] * ("CURRENT" in names) + sorted(n for n in names if n.startswith("PAST-")):
+        return spark.read.text(f"{folder.rstrip('/')}/{name}").head()[0]
+    return None
+
+
+def read_group(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the group that holds, by name."""
+    group = current_group(spark, folder)
+    if group is None:
+        return {}
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{group}")
+    fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = sorted(f.getPath().getName().removesuffix(".parquet") for f in fs.listStatus(base))
+    return {n: spark.read.parquet(f"{folder.rstrip('/')}/{group}/{n}.parquet") for n in names}
+
+
+def watermark(marks: DataFrame, key: str) -> int | None:
+    """The stored cursor of a source (marks: key, value); None before its first run."""
+    row = marks.filter(F.col("key") == key).agg(F.max("value")).head()
+    return row[0]
+
+
+def upsert_watermark(marks: DataFrame, key: str, value: int) -> DataFrame:
+    """The table of cursors with one of them moved."""
+    return marks.filter(F.col("key") != key).unionByName(marks.sparkSession.createDataFrame([(key, value)], "key string, value bigint"))
 
 
 def upsert_insights(snapshot: DataFrame, drafts: DataFrame, now_ms: int) -> DataFrame:
@@ -67,8 +118,8 @@ def resolve_ids(names: DataFrame, dimension: DataFrame, key: str, id_column: str
     """key, id_column, is_new: the id of each different key, new ones numbered after the greatest known (by key)."""
     keys = names.select(key).dropna().distinct().join(dimension.select(key, id_column).dropna().groupBy(key).agg(F.min(id_column).alias(id_column)), key, "left")
     top = dimension.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.partitionBy(F.col(id_column).isNull()).orderBy(key))
-    return keys.withColumn("n", n).withColumn("top", top.scalar()).select(key, F.coalesce(F.col(id_column), F.col("top") + F.col("n")).alias(id_column), F.col(id_column).isNull().alias("is_new"))
+    fresh = ranked(keys.filter(F.col(id_column).isNull()).select(key), (key,), "n").withColumn("top", top.scalar()).select(key, (F.col("top") + F.col("n")).alias(id_column), F.lit(True).alias("is_new"))
+    return keys.filter(F.col(id_column).isNotNull()).select(key, id_column, F.lit(False).alias("is_new")).unionByName(fresh)
 
 
 def append_audit(df: DataFrame, path: str) -> None:
