@@ -62,23 +62,66 @@ def debounce_stream(stream: DataFrame, gap_ms: int = DEBOUNCE_MS, expire: bool =
     return stream.groupBy("device_id", "app_pkg", "key").applyInPandasWithState(_debounce(gap_ms, expire), schema, "ms bigint", "append", timeout)
 
 
-def _intervals(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    own = IntervalMap(*state.get) if state.exists else IntervalMap()
+def _rows(key: tuple, own: IntervalMap) -> list[tuple]:
+    return [(*key, "period", s, e, n) for s, e, n in zip(own.starts, own.ends, own.counts, strict=True)] + [(*key, "gap", s, e, 0) for s, e in own.gaps()]
+
+
+_INTERVALS = ["device_id", "app_pkg", "kind", "start_us", "end_us", "n"]
+_INTERVALS_SQL = "device_id bigint, app_pkg string, kind string, start_us bigint, end_us bigint, n bigint"
+
+
+def _inserted(own: IntervalMap, frames: Iterator[pd.DataFrame]) -> IntervalMap:
     for frame in frames:
         for start, end in zip(frame["start_us"], frame["end_us"], strict=True):
             own.insert(int(start), int(end))
+    return own
+
+
+def _intervals(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    own = IntervalMap(*state.get) if state.exists else IntervalMap()
+    before = set(_rows(key, own))
+    _inserted(own, frames)
     state.update((own.starts, own.ends, own.counts))
-    rows = [(*key, "period", s, e, n) for s, e, n in zip(own.starts, own.ends, own.counts, strict=True)] + [(*key, "gap", s, e, 0) for s, e in own.gaps()]
-    yield pd.DataFrame(rows, columns=["device_id", "app_pkg", "kind", "start_us", "end_us", "n"])
+    yield pd.DataFrame([r for r in _rows(key, own) if r not in before], columns=_INTERVALS)
 
 
 def interval_stream(stream: DataFrame) -> DataFrame:
-    """Periods and gaps of each device and app as they stand after each micro-batch (update mode).
+    """Periods and gaps of each device and app that are new or changed after each micro-batch (update mode).
 
-    The ordered map is the key's state: late intervals are inserted where they belong. stream: device_id, app_pkg, start_us, end_us.
+    The ordered map is the key's state: late intervals, however late, are inserted where they belong, so it keeps every period. A stream that
+    runs on takes `closed_intervals`. stream: device_id, app_pkg, start_us, end_us.
+    """
+    return stream.groupBy("device_id", "app_pkg").applyInPandasWithState(_intervals, _INTERVALS_SQL, "starts array<bigint>, ends array<bigint>, counts array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def _closed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    starts, ends, counts, last = state.get if state.exists else ([], [], [], None)
+    own = IntervalMap(starts, ends, counts)
+    if not state.hasTimedOut:
+        _inserted(own, frames)
+    mark = state.getCurrentWatermarkMs() * 1000
+    done = sum(e < mark for e in own.ends)
+    rows = []
+    for s, e, n in zip(own.starts[:done], own.ends[:done], own.counts[:done], strict=True):
+        if last is not None:
+            rows.append((*key, "gap", last, s, 0))
+        rows.append((*key, "period", s, e, n))
+        last = e
+    state.update((own.starts[done:], own.ends[done:], own.counts[done:], last))
+    if done < len(own.ends):
+        state.setTimeoutTimestamp(max(own.ends[done] // 1000 + 1, mark // 1000 + 1))
+    yield pd.DataFrame(rows, columns=_INTERVALS)
+
+
+def closed_intervals(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Each period and each gap once, when nothing can change it any more (append mode).
+
+    A period is closed when the watermark, on the start of the intervals, has passed its end: what comes later begins later. It then leaves
+    the key's state, which holds the open periods and one end. Intervals that begin before the watermark are dropped. stream: device_id,
+    app_pkg, start_us, end_us.
     """
-    schema = "device_id bigint, app_pkg string, kind string, start_us bigint, end_us bigint, n bigint"
-    return stream.groupBy("device_id", "app_pkg").applyInPandasWithState(_intervals, schema, "starts array<bigint>, ends array<bigint>, counts array<bigint>", "update", GroupStateTimeout.NoTimeout)
+    marked = stream.withColumn("start_ts", F.timestamp_micros("start_us")).withWatermark("start_ts", late)
+    return marked.groupBy("device_id", "app_pkg").applyInPandasWithState(_closed, _INTERVALS_SQL, "starts array<bigint>, ends array<bigint>, counts array<bigint>, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def session_stream(stream: DataFrame, gap: str = "15 minutes", late: str = "1 day") -> DataFrame:

@@ -351,3 +351,56 @@ def test_communities_random(spark):
         got.setdefault(r.device_id, []).append(tuple(r.members))
     for g in range(60):
         assert sorted(got.get(g, [])) == moved([r[1:] for r in rows if r[0] == g])
+
+
+def test_named_places(spark):
+    us = lambda d, h: int((datetime(2026, 7, 6, tzinfo=timezone.utc) + timedelta(days=d, hours=h)).timestamp() * 1e6)
+    resolved = spark.createDataFrame([(1, c, p, 50.0 + c, 8.0, n) for c, p, n in ((1, 7, False), (2, 20, True), (3, 21, True), (4, 22, True), (5, 23, True), (6, 7, False))], "device_id long, cluster long, place_id long, lat double, lon double, is_new boolean")
+    fixes = [(1, 1, us(0, 12))] + [(1, 6, us(0, 12 + i)) for i in range(3)] + [(1, 2, us(d, 23)) for d in range(5)] + [(1, 3, us(d, 10)) for d in range(5)] + [(1, c, us(5 + d % 2, 13)) for d in range(4) for c in (4, 5)]
+    known = spark.createDataFrame([(1, 7, "Club", "OTHER"), (1, 8, "Gym", "OTHER"), (1, 9, "Home", "HOME")], "device_id long, place_id long, display_name string, place_label string")
+    got = {r.place_id: (r.display_name, r.place_label, r.lat) for r in places.name_places(resolved, spark.createDataFrame(fixes, "device_id long, cluster long, us long"), known).collect()}
+    assert got == {7: ("Club", "OTHER", 56.0), 20: ("Home", "HOME", 52.0), 21: ("Work", "WORK", 53.0), 22: ("Place 3", "OTHER", 54.0), 23: ("Place 4", "OTHER", 55.0)}
+
+
+def test_member_summary(spark):
+    found = spark.createDataFrame([(1, "m", [1, 2, 3, 4, 5, 6, 7]), (1, "c", [6, 9]), (1, "none", [9])], "device_id long, mode_key string, members array<long>")
+    kinds = [(1, "APP", "Chat", None), (2, "APP", "Mail", None), (3, "PLACE", "x", "HOME"), (4, "PLACE", "y", None), (5, "CONTACT", "Ann", None), (6, "CONTACT", "Bob", None), (7, "TOPIC", "t", None)]
+    got = {r.mode_key: (r.apps, r.places, r.contacts, r.summary) for r in graph.member_summary(found, spark.createDataFrame([(1, *k) for k in kinds], "device_id long, entity long, kind string, name string, place_label string")).collect()}
+    assert got == {"m": (2, 2, 2, "Chat, Mail; home, a place; 2 contacts"), "c": (0, 0, 1, "a contact"), "none": (0, 0, 0, "")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_clusters_brute_force(spark, seed):
+    """Density clusters against a search of all pairs, also across the date line and near a pole; equal coordinates many times."""
+    rnd = random.Random(seed)
+    rows, i = [], 0
+    for device, lat, lon in ((1, 50.0, 8.0), (2, -33.0, 180.0), (3, 84.0, 20.0), (4, 0.0, 0.0)):
+        wide = 1 / max(0.05, math.cos(math.radians(lat)))
+        for _ in range(4):
+            a, b = lat + rnd.uniform(-0.004, 0.004), lon + rnd.uniform(-0.004, 0.004) * wide
+            for _ in range(rnd.randrange(5, 25)):
+                i += 1
+                x, y = round(a + rnd.gauss(0, 0.0004), 5), round((b + rnd.gauss(0, 0.0004) * wide + 180) % 360 - 180, 5)
+                rows += [(device, i, x, y)] * 1
+                if rnd.random() < 0.1:
+                    i += 1
+                    rows.append((device, i, x, y))
+    far = lambda p, q: 2 * 6_371_000 * math.asin(math.sqrt(math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2))
+    want = set()
+    for device in (1, 2, 3, 4):
+        own = {}
+        for d, k, x, y in rows:
+            if d == device:
+                own.setdefault((x, y), []).append(k)
+        near = {p: [q for q in own if far(p, q) <= 75] for p in own}
+        core = {p for p in own if sum(len(own[q]) for q in near[p]) >= 12}
+        label = {p: min(own[p]) for p in core}
+        while True:
+            new = {p: min(label[q] for q in near[p] if q in core) for p in core}
+            if new == label:
+                break
+            label = new
+        label |= {p: min(label[q] for q in near[p] if q in core) for p in own if p not in core and any(q in core for q in near[p])}
+        want |= {(device, min(own[p]), c) for p, c in label.items()}
+    spots = places.spots(spark.createDataFrame(rows, "device_id long, us long, lat double, lon double"))
+    assert {tuple(r) for r in places.dbscan(spots).select("device_id", "id", "cluster").collect()} == want and len({w[::2] for w in want}) > 3

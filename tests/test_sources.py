@@ -1,6 +1,7 @@
 """Sources, sinks, guarded SQL, insights and streaming."""
 
 import json
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -138,3 +139,47 @@ def test_notifications_without_a_contact(spark, tmp_path):
     spark.createDataFrame([(*r, "NOTIFICATION", "app.x") for r in rows], "event_id long, device_id long, ts timestamp, entity_id long, type string, app_pkg string").write.parquet(f"{tmp_path}/raw_events.parquet")
     spark.createDataFrame([(10, "CONTACT", "Ann (2)"), (99, "PLACE", "Home")], "entity_id long, kind string, display_name string").write.parquet(f"{tmp_path}/entities.parquet")
     assert {tuple(r) for r in feed.s3_notifications(spark, str(tmp_path)).collect()} == {(1, "app.x", 1, "ann"), (1, "app.x", 2, None), (1, "app.x", 4, None), (1, "app.x", 5, None)}
+
+
+def test_closed_intervals(spark, tmp_path):
+    """Each period and gap once, as the batch has them, and an interval that comes late is inserted; state is given up behind the watermark."""
+    hour = 3_600_000_000
+    batches = [[(0, 2), (5, 6)], [(1, 3), (10, 11)], [(4, 5), (6, 7), (40, 41)], [(80, 81)], [(1, 2), (120, 121)], [(160, 161)]]
+    schema = "device_id long, app_pkg string, start_us long, end_us long"
+    for i, own in enumerate(batches):
+        spark.createDataFrame([(1, "a", (900 + a) * hour, (900 + b) * hour) for a, b in own], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        stamp = 1_600_000_000 + i
+        for f in (tmp_path / f"in/{i}").glob("*.parquet"):
+            os.utime(f, (stamp, stamp))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    jobs.closed_intervals(stream, "1 day").writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = [(r.kind, r.start_us // hour - 900, r.end_us // hour - 900, r.n) for r in spark.table("closed").collect()]
+    want = [("period", 0, 3, 2), ("period", 4, 7, 3), ("period", 10, 11, 1), ("period", 40, 41, 1), ("period", 80, 81, 1), ("period", 120, 121, 1)]
+    want += [("gap", a[2], b[1], 0) for a, b in zip(want, want[1:], strict=False)]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+
+
+def test_groups_of_tables(spark, tmp_path):
+    """A group becomes visible at once, may be computed from the one before, and a failure leaves that whole."""
+    folder = str(tmp_path / "g")
+    assert sinks.read_group(spark, folder) == {} and sinks.current_group(spark, folder) is None
+    sinks.replace_all({"a": spark.range(3), "b": spark.range(0)}, folder)
+    first = sinks.read_group(spark, folder)
+    assert {n: df.count() for n, df in first.items()} == {"a": 3, "b": 0}
+    with pytest.raises(Exception, match="(?i)divi"):
+        sinks.replace_all({"a": spark.range(9), "b": spark.range(5).selectExpr("id", "assert_true(id < 0, 'division')")}, folder)
+    assert {n: df.count() for n, df in sinks.read_group(spark, folder).items()} == {"a": 3, "b": 0}
+    sinks.replace_all({"a": first["a"].unionByName(spark.range(10)), "b": spark.range(1)}, folder)
+    assert {n: df.count() for n, df in sinks.read_group(spark, folder).items()} == {"a": 13, "b": 1}
+    marks = sinks.upsert_watermark(spark.createDataFrame([("usage", 5)], "key string, value bigint"), "calendar", 7)
+    marks = sinks.upsert_watermark(marks, "usage", 9)
+    assert [sinks.watermark(marks, k) for k in ("usage", "calendar", "other")] == [9, 7, None]
+
+
+def test_new_ids(spark):
+    known = spark.createDataFrame([("a", 5), ("a", 3), ("b", 9), (None, 1)], "name string, id long")
+    names = spark.createDataFrame([(x,) for x in ("b", "a", "d", "c", "d", None)], "name string")
+    assert {tuple(r) for r in sinks.resolve_ids(names, known, "name", "id").collect()} == {("a", 3, False), ("b", 9, False), ("c", 10, True), ("d", 11, True)}
+    many = spark.range(500).selectExpr("concat('n', lpad(id, 4, '0')) AS name")
+    got = sinks.resolve_ids(many, known, "name", "id").orderBy("name").collect()
+    assert [r.id for r in got] == list(range(10, 510))
