@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from rhythmlake.operators import detectors as D
 from rhythmlake.operators import places as L
 from rhythmlake.operators import rollups as R
 from rhythmlake.operators import screens as U
@@ -15,11 +16,13 @@ from rhythmlake.plans import findings as K
 from rhythmlake.plans import patterns as B
 from rhythmlake.plans import rollups as P
 from rhythmlake.plans.dealt import _fixes, _places
+from rhythmlake.plans.feed import _NAME as CONTACT_NAME
 from rhythmlake.plans.findings import NOW_MS
 from rhythmlake.plans.rollups import shown
 from rhythmlake.session import shared_folder, written
-from rhythmlake.sources import sinks
-from rhythmlake.sources.tables import table
+from rhythmlake.sources import events as E
+from rhythmlake.sources import guard, sinks
+from rhythmlake.sources.tables import app_name, table
 from rhythmlake.streaming import jobs
 
 
@@ -141,6 +144,47 @@ def place_named_places(spark, d):
     return A.rounded(L.name_places(resolved, fixes, known), "lat", "lon")
 
 
+def d6_ranks_of_all_series(spark, d):
+    """Average ranks of the days of every series of a device."""
+    return P.shown(D.average_ranks(A.behaviour(spark, d), ("device_id", "subject"), "value", "rank").select("device_id", "subject", "day", "value", "rank"))
+
+
+def s5_new_contacts(spark, d):
+    """Names resolved against the contacts that have aliases; the other names get new ids."""
+    names = table(spark, d, "entities").filter("kind = 'CONTACT'").select("entity_id", "aliases", E.contact_name(F.col("display_name")).alias("name"))
+    return sinks.resolve_ids(names, names.filter("aliases IS NOT NULL"), "name", "entity_id")
+
+
+def s14_app_entities(spark, d):
+    """Ids of all apps of the sessions: those of known categories but one keep theirs, the rest are created."""
+    apps = table(spark, d, "sessions").select(app_name("app_pkg").alias("app_pkg"))
+    known = table(spark, d, "app_refs").filter("category IS NOT NULL AND category <> 'chat'").select(app_name("app_pkg").alias("app_pkg"), "entity_id")
+    return sinks.resolve_ids(apps, known, "app_pkg", "entity_id")
+
+
+def s13_erase_lists(spark, d):
+    """A contact taken out of the insights and modes that name it, beside the rows that have its id."""
+    insights = sinks.upsert_insights(spark.createDataFrame([], sinks.EMPTY_INSIGHTS), K.comms_timing(K.Inputs(spark, d)).withColumn("order", F.lit(1)), NOW_MS)
+    own = {"insights": insights, "contact_days": R.contact_days(P.log(spark, d)), "raw_events": table(spark, d, "raw_events")}
+    one = insights.agg(F.min(F.col("entity_ids")[0])).head()[0]  # one id
+    out = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, df in sinks.erase_entity(own, -1 if one is None else one).items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def l_guarded_join(spark, d):
+    """A guarded question over two of the four rollups, all of which are loaded (at most 50 rows, the feature's limit)."""
+
+    def load(s):
+        log = P.log(s, d)
+        own = R.app_sessions(log)
+        views = {"sessions": own, "usage_hourly": R.hourly_usage(own), "usage_daily": R.daily_usage(own), "day_summary": R.day_summary(own, R.pickups(log))}
+        return views
+
+    sql = """SELECT d.day_type, count(DISTINCT u.app_pkg) AS apps, sum(u.open_count) AS opened FROM usage_daily u JOIN day_summary d ON u.device_id = d.device_id AND u.date = d.date
+      GROUP BY d.day_type ORDER BY d.day_type"""
+    return guard.ask(spark, sql, load)
+
+
 def st_ingest(spark, d):
     """The event log as a stream, appended by day until nothing is left; events a day."""
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -151,7 +195,7 @@ def st_ingest(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     q_events_ordered, q_sessions_ordered, q_hourly_since, q_hourly_ordered, q_daily_ordered, q_summaries_ordered, q_contact_days_ordered, q_place_days_ordered, q_entities_sorted, q_entity_by_id, q_relabelled,
-    q_dismissed_pinned_told, q_to_narrate, i_feed_again, q_modes_to_name, s17_audit, r10_rollup_pass, place_named_places, st_ingest)}
+    q_dismissed_pinned_told, q_to_narrate, i_feed_again, q_modes_to_name, s17_audit, r10_rollup_pass, place_named_places, d6_ranks_of_all_series, s5_new_contacts, s14_app_entities, s13_erase_lists, l_guarded_join, st_ingest)}
 
 _FLAGS = f"SELECT device_id, type, dedupe_key, type = 'comms_timing' AS dismissed, type = 'baseline_snapshot' AS pinned, CASE WHEN type = 'habit_shift' THEN 'told' END AS llm_text FROM ({K.SQL['i_insights']})"
 _counted = lambda name: f"SELECT count(*) FROM ({P.SQL[name]})"
@@ -174,5 +218,13 @@ SQL = {
     "s17_audit": "SELECT entity_id AS ts, kind AS purpose, coalesce(display_name, '') AS request FROM entities ORDER BY ts DESC, purpose DESC LIMIT 100",
     "r10_rollup_pass": f"""SELECT 'sessions' AS name, ({_counted("r2_sessions")}) AS n UNION ALL SELECT 'usage_hourly', ({_counted("r4_hourly")}) UNION ALL SELECT 'usage_daily', ({_counted("r5_daily")})
       UNION ALL SELECT 'day_summary', ({_counted("r6_day_summary")}) UNION ALL SELECT 'comms_daily', ({_counted("r7_contact_days")}) UNION ALL SELECT 'place_daily', (SELECT count(*) FROM ({B.SQL["r8_place_days"]}))""",
+    "d6_ranks_of_all_series": f"""WITH {A.BS} SELECT device_id, subject, strftime(day, '%Y-%m-%d') AS day, v AS value, rank() OVER (PARTITION BY device_id, subject ORDER BY v) + (count(*) OVER (PARTITION BY device_id, subject, v) - 1) / 2.0::DOUBLE AS rank FROM bs""",
+    "s5_new_contacts": f"""WITH n AS (SELECT {CONTACT_NAME} AS name, entity_id, aliases FROM entities WHERE kind = 'CONTACT'), k AS (SELECT name, min(entity_id) FILTER (aliases IS NOT NULL) AS id FROM n WHERE name IS NOT NULL GROUP BY ALL)
+      SELECT name, coalesce(id, (SELECT max(entity_id) FROM n WHERE aliases IS NOT NULL) + row_number() OVER (PARTITION BY id IS NULL ORDER BY name)) AS entity_id, id IS NULL AS is_new FROM k""",
+    "s14_app_entities": """WITH a AS (SELECT DISTINCT lower(trim(app_pkg)) AS app_pkg FROM sessions WHERE app_pkg IS NOT NULL), r AS (SELECT lower(trim(app_pkg)) AS app_pkg, min(entity_id) AS id FROM app_refs WHERE category <> 'chat' GROUP BY ALL)
+      SELECT app_pkg, coalesce(id, (SELECT max(id) FROM r) + row_number() OVER (PARTITION BY id IS NULL ORDER BY app_pkg)) AS entity_id, id IS NULL AS is_new FROM a LEFT JOIN r USING (app_pkg)""",
+    "s13_erase_lists": f"""WITH i AS ({K.SQL["i_comms_timing"]}), one AS (SELECT min(entity_ids::BIGINT) AS id FROM i) SELECT 'insights' AS name, count(*) AS n FROM i, one WHERE entity_ids::BIGINT <> one.id
+      UNION ALL SELECT 'contact_days', count(*) FROM ({P.SQL["r7_contact_days"]}) c, one WHERE contact_id <> one.id UNION ALL SELECT 'raw_events', count(*) FROM raw_events, one WHERE entity_id IS NULL OR entity_id <> one.id""",
+    "l_guarded_join": f"""SELECT d.day_type, count(DISTINCT u.app_pkg)::VARCHAR AS apps, sum(u.open_count)::BIGINT::VARCHAR AS opened FROM ({P.SQL["r5_daily"]}) u JOIN ({P.SQL["r6_day_summary"]}) d ON u.device_id = d.device_id AND u.date = d.date GROUP BY d.day_type""",
     "st_ingest": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM raw_events WHERE device_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL",
 }
