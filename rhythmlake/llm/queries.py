@@ -29,6 +29,11 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", *[F.round(c, 6).alias(c) for c in ("expected", "lift", "llr")])
 
 
+def p2_every_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p2_pairs, for comparison with SQL that has no least number of baskets."""
+    return p2_pairs(spark, d)
+
+
 def _patterns(spark: SparkSession, d: str, length: int | None, distinct: bool) -> DataFrame:
     rows = table(spark, d, "sessions").select("device_id", "day_key", app_name("app_pkg").alias("app_pkg"), micros("start_ts").alias("us"))
     return frequent_subsequences(rows, ("device_id", "day_key"), ("us",), "app_pkg", length=length, distinct=distinct)
@@ -44,6 +49,11 @@ def p5_patterns(spark: SparkSession, d: str) -> DataFrame:
     return _patterns(spark, d, None, False).select(F.array_join("pattern", ">").alias("pattern"), "n_sequences", "n_all")
 
 
+def p5_any_length(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p5_patterns, for comparison with SQL that goes on after three steps and lets apps return."""
+    return p5_patterns(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -98,7 +108,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_patterns, p7_ids, p7_decode, p8_found, p8_pack, p8_fill, p8_invariants, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_every_pair, p5_found, p5_patterns, p5_any_length, p7_ids, p7_decode, p8_found, p8_pack, p8_fill, p8_invariants, p9_found, p9_shares)}
 
 _P2 = """
 b AS (SELECT DISTINCT device_id, day_key, lower(trim(app_pkg)) AS app FROM sessions WHERE device_id IS NOT NULL AND day_key IS NOT NULL AND app_pkg IS NOT NULL),
@@ -122,6 +132,19 @@ d2 AS (SELECT x.s, x.app AS a, y.app AS b, min(y.i) AS i FROM q x JOIN q y ON x.
 p2 AS (SELECT a || '>' || b AS pattern, count(*) AS k FROM d2 GROUP BY ALL),
 d3 AS (SELECT DISTINCT d2.s, a, b, z.app AS c FROM d2 JOIN q z ON d2.s = z.s AND d2.i < z.i AND z.app <> a AND z.app <> b),
 p3 AS (SELECT a, b, c, count(*) AS k FROM d3 GROUP BY ALL)"""
+#: Steps the SQL of p5_any_length goes to; on the test tables the longest frequent pattern has fewer.
+_DEEP = 8
+_P5A = """
+r AS (SELECT DISTINCT device_id, day_key, epoch_us(start_ts) AS us, lower(trim(app_pkg)) AS app FROM sessions WHERE device_id IS NOT NULL AND day_key IS NOT NULL AND start_ts IS NOT NULL AND app_pkg IS NOT NULL),
+q AS (SELECT app, row_number() OVER (PARTITION BY device_id, day_key ORDER BY us, app) AS i, dense_rank() OVER (ORDER BY device_id, day_key) AS s FROM r),
+n AS (SELECT count(DISTINCT s) AS n FROM q),
+l1 AS (SELECT s, app AS pattern, min(i) AS i FROM q GROUP BY ALL)"""
+for _k in range(1, _DEEP + 1):
+    _P5A += f""",
+f{_k} AS (SELECT pattern, count(*) AS k FROM l{_k}, n GROUP BY ALL HAVING count(*) >= 10 AND count(*) * 100 >= any_value(n.n) * 4)"""
+    if _k < _DEEP:
+        _P5A += f""",
+l{_k + 1} AS (SELECT x.s, x.pattern || '>' || y.app AS pattern, min(y.i) AS i FROM l{_k} x SEMI JOIN f{_k} f ON f.pattern = x.pattern JOIN q y ON y.s = x.s AND y.i > x.i GROUP BY ALL)"""
 _P9 = """
 w AS (SELECT doc_id, i, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)),
 g AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
@@ -138,6 +161,8 @@ SQL = {
     "p2_found": f"WITH {_P2} SELECT a AS app_a, b AS app_b FROM m WHERE n_ab * n >= 3 * n_a * n_b",
     "p2_pairs": f"WITH {_P2} SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n AS n_baskets, round(n_a::DOUBLE * n_b / n, 6) AS expected, round(n_ab / (n_a::DOUBLE * n_b / n), 6) AS lift, round(2.0::DOUBLE * ({_LLR}), 6) AS llr FROM m",
     "p5_found": f"WITH {_P5} SELECT a AS app_1, b AS app_2, c AS app_3 FROM p3, n WHERE k >= 10 AND k * 100 >= n.n * 4",
+    "p2_every_pair": f"WITH {_P2.replace(' HAVING count(*) >= 10', '')} SELECT a AS item_a, b AS item_b, n_ab, n_a, n_b, n AS n_baskets, round(n_a::DOUBLE * n_b / n, 6) AS expected, round(n_ab / (n_a::DOUBLE * n_b / n), 6) AS lift, round(2.0::DOUBLE * ({_LLR}), 6) AS llr FROM m",
+    "p5_any_length": f"WITH {_P5A} SELECT pattern, k AS n_sequences, n.n AS n_all FROM ({' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(1, _DEEP + 1))}), n",
     "p8_invariants": "SELECT count(*) AS n_documents, 0::BIGINT AS lost, 0::BIGINT AS twice, 0::BIGINT AS split_without_need, 0::BIGINT AS too_full FROM documents",
     "p7_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_patterns": f"""WITH {_P5} SELECT pattern, k AS n_sequences, n.n AS n_all FROM
