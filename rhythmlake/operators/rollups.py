@@ -55,23 +55,19 @@ def app_sessions(log: DataFrame, cfg: RollupConfig = RollupConfig()) -> DataFram
     A session begins with APP_FOREGROUND and ends with the next one, with APP_BACKGROUND of the same app, when the screen
     closes, or else with the device's last event; it is cut at six hours and dropped under a second. A foreground event without app begins none.
 
-    Events are numbered by the foreground events so far; of each number only the least times by kind and app are sent on, and each
-    foreground event goes to the number before as well, as its end.
+    Events are numbered by the foreground events so far and know the app of the last one; each foreground event goes to the
+    number before as well, as its end. Then one aggregation by device and number.
     """
     fg, off, back = F.col("type") == "APP_FOREGROUND", F.col("type").isin("SCREEN_OFF", "DEVICE_SHUTDOWN"), F.col("type") == "APP_BACKGROUND"
-    kind = F.when(fg, "begin").when(off, "off").when(back, "back").otherwise("other")
-    ev = numbered(log, fg, _ORDER, "seg").select("device_id", "seg", "us", kind.alias("kind"), F.when(fg | back, F.col("app_pkg")).alias("app_pkg"))
-    ends = F.array(F.struct("seg", "kind"), F.struct((F.col("seg") - 1).alias("seg"), F.lit("next").alias("kind")))
-    ev = ev.select("device_id", "us", "app_pkg", F.explode(F.when(F.col("kind") == "begin", ends).otherwise(F.array(F.struct("seg", "kind")))).alias("e")).select("device_id", "e.seg", "e.kind", "app_pkg", "us").filter("seg > 0")
-    least = ev.groupBy("device_id", "seg", "kind", "app_pkg").agg(F.min("us").alias("us"), F.max("us").alias("last_us"))
-    of = lambda k: F.when(F.col("kind") == k, F.col("us"))
-    own = F.collect_list(F.when(F.col("kind") == "back", F.struct("app_pkg", "us")))  # one for each app that goes to the back
-    seg = least.groupBy("device_id", "seg").agg(
-        F.max(F.when(F.col("kind") == "begin", F.struct("us", "app_pkg"))).alias("head"), F.min(of("off")).alias("off_us"), F.min(of("next")).alias("next_us"), F.max("last_us").alias("last_us"), own.alias("backs")
-    )
-    closed = F.get(F.filter("backs", lambda x: x["app_pkg"] == F.col("head.app_pkg")), F.lit(0))["us"]
+    ev = numbered(log, fg, _ORDER, "seg", latest={"front": F.when(fg, F.struct("app_pkg"))})
+    closes = off | (back & (F.col("app_pkg") == F.col("front.app_pkg")))
+    kind = F.when(fg, "begin").when(closes, "close").otherwise("other")
+    ends = F.array(F.struct("seg", F.lit("begin").alias("kind")), F.struct((F.col("seg") - 1).alias("seg"), F.lit("next").alias("kind")))
+    ev = ev.select("device_id", "us", "app_pkg", F.explode(F.when(fg, ends).otherwise(F.array(F.struct("seg", kind.alias("kind"))))).alias("e")).filter("e.seg > 0")
+    of = lambda k: F.when(F.col("e.kind") == k, F.col("us"))
+    seg = ev.groupBy("device_id", F.col("e.seg").alias("seg")).agg(F.max(F.when(F.col("e.kind") == "begin", F.struct("us", "app_pkg"))).alias("head"), F.min(of("close")).alias("closed_us"), F.min(of("next")).alias("next_us"), F.max("us").alias("last_us"))
     # a device's last event lies in its last segment; in all others the next one begins before it
-    end = F.least("off_us", closed, "next_us", "last_us", F.col("head.us") + cfg.longest_session_h * HOUR)
+    end = F.least("closed_us", "next_us", "last_us", F.col("head.us") + cfg.longest_session_h * HOUR)
     out = seg.select("device_id", F.col("head.app_pkg").alias("app_pkg"), F.col("head.us").alias("start_us"), end.alias("end_us"))
     out = out.filter(F.col("app_pkg").isNotNull() & (F.col("end_us") - F.col("start_us") >= cfg.least_session_ms * 1000))
     return out.withColumn("duration_s", F.call_function("div", F.col("end_us") - F.col("start_us"), F.lit(SECOND)))

@@ -12,8 +12,9 @@ SLICE_US = 86_400_000_000
 
 
 def slice_of(us: Column | str) -> Column:
+    """The slice of an instant (which is there). Not nullable, so a join on it filters neither side and both keep one shuffle."""
     us = F.col(us) if isinstance(us, str) else us
-    return F.call_function("div", us - F.pmod(us, F.lit(SLICE_US)), F.lit(SLICE_US))
+    return F.coalesce(F.call_function("div", us - F.pmod(us, F.lit(SLICE_US)), F.lit(SLICE_US)), F.lit(0))
 
 
 def _within(*order: str):
@@ -31,16 +32,23 @@ def _carried(rows: DataFrame, order: str, **folds: tuple[Column, str]) -> DataFr
     return parts.select("device_id", "slice", *[fold[how](F.col(name)).over(w).alias(name) for name, (_, how) in folds.items()])
 
 
-def numbered(rows: DataFrame, flag: Column, order: tuple[str, ...], out: str, upto_before: bool = False) -> DataFrame:
+def numbered(rows: DataFrame, flag: Column, order: tuple[str, ...], out: str, upto_before: bool = False, latest: dict[str, Column] | None = None) -> DataFrame:
     """rows with the number of rows of their device so far whose flag is set, this one included (upto_before: not).
 
+    latest: columns to add, each the last value so far, this row included, of an expression that is null where it has none.
     rows: device_id, slice (`slice_of` the first column of `order`), and the columns of `order`.
     """
-    marked = rows.withColumn("flagged", F.coalesce(flag, F.lit(False)).cast("bigint"))
-    before = _carried(marked, order[0], base=(F.sum("flagged"), "sum"))
-    w = _within(*order).rowsBetween(Window.unboundedPreceding, -1 if upto_before else Window.currentRow)
-    own = marked.withColumn(out, F.coalesce(F.sum("flagged").over(w), F.lit(0)))
-    return own.join(before, ["device_id", "slice"]).withColumn(out, F.col(out) + F.coalesce("base", F.lit(0))).drop("flagged", "base")
+    latest = latest or {}
+    marked = rows.withColumn("flagged", F.coalesce(flag, F.lit(False)).cast("bigint")).withColumns({f"own_{n}": c for n, c in latest.items()})
+    # the sum looks at the last column of the order, so that both readers of the rows ask for the same columns and share one shuffle
+    base = F.sum(F.when(F.col(order[-1]).isNull(), 0).otherwise(F.col("flagged")))
+    folds = {f"past_{n}": (F.max_by(f"own_{n}", F.when(F.col(f"own_{n}").isNotNull(), F.struct(*order))), "last") for n in latest}
+    before = _carried(marked, order[0], base=(base, "sum"), **folds)
+    w = _within(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, -1 if upto_before else Window.currentRow)
+    own = marked.withColumns({out: F.coalesce(F.sum("flagged").over(upto), F.lit(0)), **{n: F.last(f"own_{n}", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for n in latest}})
+    met = own.join(before, ["device_id", "slice"]).withColumns({out: F.col(out) + F.coalesce("base", F.lit(0)), **{n: F.coalesce(n, f"past_{n}") for n in latest}})
+    return met.drop("flagged", "base", *folds, *[f"own_{n}" for n in latest])
 
 
 def previous(rows: DataFrame, value: Column, order: tuple[str, ...], out: str) -> DataFrame:
