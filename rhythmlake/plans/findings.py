@@ -17,7 +17,7 @@ from rhythmlake.operators import series as S
 from rhythmlake.plans import analysis as A
 from rhythmlake.plans import patterns as B
 from rhythmlake.plans import rollups as P
-from rhythmlake.plans.patterns import TODAY
+from rhythmlake.plans.analysis import TODAY
 from rhythmlake.session import written
 from rhythmlake.sources.tables import table
 
@@ -190,7 +190,7 @@ z AS (SELECT *, (value - q2) / greatest((q3 - q1) / 1.349::DOUBLE, greatest(abs(
 _UNL = f"{A.UNL}, un_n AS (SELECT device_id, count(*) AS n, list_sort(list(minute))[count(*) // 2 + 1] AS m FROM un GROUP BY ALL)"
 _CH = f"""{_UNL}, ch AS (SELECT device_id, median(minute) FILTER (NOT we) AS wd, median(minute) FILTER (we) AS wk FROM un GROUP BY ALL HAVING count(*) FILTER (NOT we) >= 4 AND count(*) FILTER (we) >= 2),
 cf AS (SELECT *, wk - wd AS s FROM ch JOIN un_n USING (device_id) WHERE abs(wk - wd) >= 20)"""
-_LOOP = f"""{A.D8H.replace("value AS v FROM (", "value AS v FROM (SELECT * FROM (", 1).replace(")),\npr AS", f") WHERE day < '{TODAY}')),\npr AS", 1)}, {A.BH},
+_LOOP = f"""{A.D8H}, {A.BH},
 fd AS (SELECT * FROM l WHERE k <= last AND abs(r) >= 0.3 QUALIFY row_number() OVER (PARTITION BY device_id, driver, outcome ORDER BY round(abs(r), 9) DESC, lag) = 1)"""
 _BASE = f"""{P.EV}, {P.UPS}, {P.SES}, {P.DAYSUM},
 bm AS (SELECT device_id, count(*) AS n, list_sort(list(screen_time_s::DOUBLE))[count(*) // 2 + 1] AS st, list_sort(list(pickups::DOUBLE))[count(*) // 2 + 1] AS pk, list_sort(list(reflex_checks::DOUBLE))[count(*) // 2 + 1] AS rf FROM days WHERE date < '{TODAY}' GROUP BY ALL)"""

@@ -13,13 +13,11 @@ from rhythmlake.operators import rollups as R
 from rhythmlake.operators import sequences as Q
 from rhythmlake.operators.trips import read_pings
 from rhythmlake.plans import analysis as A
+from rhythmlake.plans.analysis import TODAY
 from rhythmlake.plans.dealt import _DAY, _HAV, _fixes, _places
 from rhythmlake.plans.rollups import shown
 from rhythmlake.sources.tables import app_name, micros, table
 
-#: The behavioural day the analysis runs on; it is not finished, so most findings leave it out.
-TODAY = "2015-02-13"
-
 
 def clean_sessions(spark: SparkSession, d: str) -> DataFrame:
     """device_id, app_pkg, start_us, end_us of the `sessions` table; repeats once, unusable rows left out."""
