@@ -64,6 +64,19 @@ def test_all_pairs_are_given(spark, tmp_path):
     assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [("a", "b")]
 
 
+@pytest.mark.parametrize(("n", "n_a", "n_b", "n_ab", "lift"), [(91, 50, 64, 49, 1.393438), (61, 40, 48, 33, 1.048437)])
+def test_pairs_are_rounded_as_in_sql(spark, tmp_path, n, n_a, n_b, n_ab, lift):
+    """The lifts 49 * 91 / 3200 and 33 * 61 / 1920 end in a 5 at the seventh digit; as doubles, times a million, they lie at and just under the half."""
+    rows = [(1, f"d{i}", x) for i in range(n) for x, here in (("a", i < n_a), ("b", n_a - n_ab <= i < n_a - n_ab + n_b), ("z", True)) if here]
+    spark.createDataFrame(rows, "device_id long, day_key string, app_pkg string").write.parquet(f"{tmp_path}/sessions.parquet")
+    out = queries.p2_pairs(spark, str(tmp_path)).filter("item_a = 'a' AND item_b = 'b'").collect()
+    assert [(r.n_ab, r.n_a, r.n_b, r.n_baskets, r.lift) for r in out] == [(n_ab, n_a, n_b, n, lift)]
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW sessions AS SELECT * FROM read_parquet('{tmp_path}/sessions.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in out) == [r for r in con.execute(queries.SQL["p2_pairs"]).fetchall() if r[:2] == ("a", "b")]
+
+
 def brute_patterns(rows, least, share):
     seqs = {}
     for r in rows:
